@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secrets, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -34,3 +34,13 @@ def _register(name: str, sql: str | None = None):
 )
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@_register("op9_secret_scan")
+def op9_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("live")
+
+
+@_register("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, toxicity
+from . import bpe, exact_dedup, language, secrets, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _register(name: str, sql: str | None = None):
     def add(function):
         QUERIES[name] = function
@@ -44,3 +51,13 @@ def op9_secret_scan(spark, sf_dir):
 @_register("op3_toxicity")
 def op3_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register("op5_bpe_round_trip")
+def op5_bpe_round_trip(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@_register("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, secrets, toxicity
+from . import bpe, exact_dedup, language, packing, secrets, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -61,3 +61,8 @@ def op5_bpe_round_trip(spark, sf_dir):
 @_register("op10_language_id")
 def op10_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@_register("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))

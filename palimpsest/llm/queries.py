@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, packing, secrets, toxicity
+from . import bpe, exact_dedup, html_text, language, packing, secrets, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -66,3 +66,8 @@ def op10_language_id(spark, sf_dir):
 @_register("op4_best_fit_packing")
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@_register("op1_html_text")
+def op1_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))

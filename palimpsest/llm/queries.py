@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, language, packing, secrets, toxicity
+from . import bpe, exact_dedup, html_text, language, packing, secrets, toxicity, vectors
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,8 @@ def op4_best_fit_packing(spark, sf_dir):
 @_register("op1_html_text")
 def op1_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@_register("op6_near_vectors")
+def op6_near_vectors(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))

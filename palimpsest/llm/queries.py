@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, language, packing, secrets, toxicity, vectors
+from . import bpe, exact_dedup, html_text, language, minhash, packing, secrets, toxicity, vectors
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -76,3 +76,8 @@ def op1_html_text(spark, sf_dir):
 @_register("op6_near_vectors")
 def op6_near_vectors(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_register("op2_near_documents")
+def op2_near_documents(spark, sf_dir):
+    return minhash.near_groups(table(spark, sf_dir, "documents"))

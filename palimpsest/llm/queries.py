@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, language, minhash, packing, secrets, toxicity, vectors
+from . import bpe, exact_dedup, html_text, language, minhash, packing, secrets, substrings, toxicity, vectors
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -81,3 +81,8 @@ def op6_near_vectors(spark, sf_dir):
 @_register("op2_near_documents")
 def op2_near_documents(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@_register("op7_repeated_passages")
+def op7_repeated_passages(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))

@@ -86,3 +86,10 @@ def op2_near_documents(spark, sf_dir):
 @_register("op7_repeated_passages")
 def op7_repeated_passages(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@_register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -55,7 +55,7 @@ def ascii_fold(text: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """A small English suffix stripper; a full stemmer can be plugged in as a pandas function instead."""
-    return F.regexp_replace(F.regexp_replace(token, r"(ations|ation|ings|ing|edly|ed|ly|ies|es|s)$", ""), r"(.)\1$", "$1")
+    return F.regexp_replace(token, r"(ations|ation|ings|ing|edly|ed|ly|ies|es|s)$", "")
 
 
 def ngrams(tokens: Column, n: int = 3) -> Column:
@@ -121,7 +121,7 @@ def byte_slice(text: Column, start: Column, end: Column) -> Column:
     """Bytes [start, end) of a text's UTF-8; a start below 0 counts as 0; broken characters at the edges are left out."""
     first = F.greatest(start, F.lit(0))
     part = F.substring(F.encode(text, "utf-8"), first + 1, F.greatest(end - first, F.lit(0)))
-    return F.replace(F.try_validate_utf8(F.decode(part, "utf-8")), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(part.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def relative_position(byte: Column, start: Column, end: Column) -> Column:

@@ -30,14 +30,19 @@ def write_candidates(stream: DataFrame, path: str, checkpoint: str, least: int =
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark on ts, which needs a timestamp with a time zone; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
     """Counts and sums by type and window of event time; a stream drops what comes later than ``late``."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = watermarked(events, late)
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return marked.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """A user's sessions: events no more than a gap apart."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = watermarked(events, late)
     return marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

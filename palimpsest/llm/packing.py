@@ -51,7 +51,7 @@ def complete(room: int, lengths: list[int], left: dict[int, int], nodes: int = N
     """
     best = best_fit(room, lengths, left)
     waste = room - sum(best)
-    if waste == 0 or not lengths:
+    if waste == 0 or not lengths or not nodes:
         return best
     below = [0]  # tokens in all pieces up to a length
     for size in lengths:
@@ -89,15 +89,15 @@ def complete(room: int, lengths: list[int], left: dict[int, int], nodes: int = N
     return best
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
-    """(times, lengths of pieces) so that every piece is placed. A length of zero takes no room and no place."""
+def filled(counts: dict[int, int], length: int, nodes: int) -> list[tuple[int, list[int]]]:
+    """Fillings around the largest piece left, again and again, each with so many branch-and-bound nodes."""
     left = {s: n for s, n in counts.items() if s > 0 and n > 0}
     lengths = sorted(left)
     out = []
     while lengths:
         top = lengths[-1]
         left[top] -= 1
-        filling = [top, *complete(length - top, lengths, left)]
+        filling = [top, *complete(length - top, lengths, left, nodes)]
         left[top] += 1
         uses = {s: filling.count(s) for s in set(filling)}
         times = min(left[s] // n for s, n in uses.items())
@@ -110,6 +110,23 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[i
     return out
 
 
+def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
+    """(times, lengths of pieces) so that every piece is placed. A length of zero takes no room and no place.
+
+    Best fit alone is the incumbent; bin completion replaces it if it needs fewer sequences, and neither is searched
+    further once the bound of all tokens over the length is met.
+    """
+    least = -(-sum(s * n for s, n in counts.items()) // length)
+    best: list[tuple[int, list[int]]] = []
+    for nodes in (NODES, 0):
+        made = filled(counts, length, nodes)
+        if not best or sum(t for t, _ in made) < sum(t for t, _ in best):
+            best = made
+        if sum(t for t, _ in best) <= least:
+            break
+    return best
+
+
 def places(made: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first number, numbers, first sequence, offset): pieces of a length, by number, to their places."""
     seen: dict[int, int] = {}

@@ -79,7 +79,7 @@ def objects(words: DataFrame, level: str) -> DataFrame:
 
 def parsed_words(spark: SparkSession, path: str) -> DataFrame:
     """(position, word, start_byte, end_byte) of JSON lines that an earlier parse left."""
-    return spark.read.schema("token string, position string, start_byte bigint, end_byte bigint, philo_type string").json(path).where("philo_type = 'word'").select("position", F.col("token").alias("word"), "start_byte", "end_byte")
+    return spark.read.schema("token string, position string, start_byte bigint, end_byte bigint, object_type string").json(path).where("object_type = 'word'").select("position", F.col("token").alias("word"), "start_byte", "end_byte")
 
 
 def kept_words(tokens: DataFrame, keep: DataFrame, column: str = "word") -> DataFrame:

@@ -27,7 +27,7 @@ CONTAINMENT = 0.65
 #: Share of pairs just at a partition's threshold that its bands are to bring together.
 RECALL = 0.95
 #: MinHash values a document has at most, and bands with more values each are taken as long as they suffice.
-HASHES = 256
+HASHES = 224
 #: Shingles of the documents that are compared in one task at once, about.
 BLOCK = 1 << 19
 #: A worker forgets hashed words beyond so many.
@@ -57,9 +57,17 @@ def shingles(text: str, known: dict[str, int]) -> np.ndarray:
     return np.unique(out)
 
 
-def partition(size: int, containment: float = CONTAINMENT) -> int:
-    """Partition of a set size: bounds grow by 1 / containment, so that a pair's sizes are in one or in neighbours."""
-    return int(math.log(size) / -math.log(containment) + 1e-9)
+#: A partition holds sizes from a power of this to the next; at least 1 / CONTAINMENT, so that a pair meets in one of two.
+RATIO = 4
+
+
+def partition(size: int) -> int:
+    """Partition of a set size."""
+    p = 0
+    while size >= RATIO:
+        size //= RATIO
+        p += 1
+    return p
 
 
 @cache
@@ -69,8 +77,8 @@ def tune(p: int, containment: float = CONTAINMENT, recall: float = RECALL) -> tu
     Two sets of sizes a <= b that share at least ceil(containment x b) elements have the least Jaccard similarity where
     a = b; over the sizes of the partition, and small sets above all, that is the threshold.
     """
-    low = math.ceil((1 / containment) ** p - 1e-6)
-    high = max(low, min(math.ceil((1 / containment) ** (p + 1) - 1e-6), low + 1000))
+    low = RATIO**p
+    high = min(RATIO * low - 1, low + 1000)
     jaccard = min(math.ceil(containment * b - 1e-9) / (2 * b - math.ceil(containment * b - 1e-9)) for b in range(low, high + 1))
     best = (HASHES, 1)
     for rows in range(1, 9):
@@ -91,19 +99,19 @@ def signature(own: np.ndarray) -> np.ndarray:
     """HASHES minima of a set of 64-bit hashes."""
     a, b = functions()
     low = own.astype(np.uint32) ^ (own >> np.uint64(32)).astype(np.uint32) * np.uint32(0x85EBCA6B)
+    low ^= low >> np.uint32(15)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 512):
-        x = low[None, at : at + 512] * a + b
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
+        x = low[None, at : at + 512] * a
+        x += b
         np.minimum(out, x.min(1), out=out)
     return out
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
-    """Keys of a set: the bands of its own partition and, as a query, those of the partition above."""
+    """Keys of a set: the bands of its own partition and, as a query, those of the one above, if it can hold a partner."""
     p, values, out = partition(len(own)), signature(own).astype(np.uint64), []
-    for q in (p, p + 1):
+    for q in (p, p + 1) if len(own) >= CONTAINMENT * RATIO ** (p + 1) - 1e-6 else (p,):
         bands, rows = tune(q)
         part = values[: bands * rows].reshape(bands, rows)
         key = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(q * 7919 + 1)
@@ -173,23 +181,33 @@ def _heads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
 
+#: Shingles that so many sets of a group hold are counted by pairs of their sets, more frequent ones by matrices.
+RARE = 24
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of the sizes of all pairwise intersections."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    values, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = count > 1
-    place = np.cumsum(often) - 1
-    keep = often[back]
-    column, row = place[back[keep]], owner[keep]
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    count = np.diff(np.append(first, len(values)))
     out = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    step = max(256, (1 << 22) // n)
-    for at in range(0, int(often.sum()), step):
-        a, b = np.searchsorted(column, (at, at + step))
-        part = np.zeros((n, step), np.float32)
-        part[row[a:b], column[a:b] - at] = 1
+    for k in range(2, RARE + 1):
+        at = first[count == k]
+        for x in range(k if len(at) else 0):
+            for y in range(x + 1, k):
+                np.add.at(out, (owner[at + x], owner[at + y]), 1)
+    out += out.T
+    often = np.flatnonzero(count > RARE)
+    step = max(64, (1 << 22) // n)
+    for at in range(0, len(often), step):
+        some = often[at : at + step]
+        part = np.zeros((n, len(some)), np.float32)
+        rows = np.concatenate([np.arange(first[c], first[c] + count[c]) for c in some])
+        part[owner[rows], np.repeat(np.arange(len(some)), count[some])] = 1
         out += part @ part.T
     return out
 
@@ -201,6 +219,7 @@ def _checked(containment: float):
         known: dict[str, int] = {}
         for t, at in graph.groups(batches, ("key", "i", "j")):
             ids, mult, mine = (t.column(c).to_numpy() for c in ("id", "mult", "mine"))
+            guest = np.asarray(t.column("guest"))
             same = t.column("i").to_numpy() == t.column("j").to_numpy()
             count, tree = np.zeros(t.num_rows, np.int64), []
             for a, b in zip(at[:-1], at[1:]):
@@ -211,6 +230,7 @@ def _checked(containment: float):
                 linked = overlaps(sets) >= containment * np.maximum(size[:, None], size[None]) - 1e-6
                 if not same[a]:
                     linked &= mine[a:b, None] != mine[None, a:b]
+                linked &= ~(guest[a:b, None] & guest[None, a:b])
                 pairs = np.argwhere(np.triu(linked, 1))
                 np.add.at(count, pairs[:, 0] + a, mult[pairs[:, 1] + a])
                 np.add.at(count, pairs[:, 1] + a, mult[pairs[:, 0] + a])
@@ -225,6 +245,21 @@ def _checked(containment: float):
     return run
 
 
+def by_size(members: DataFrame, containment: float) -> DataFrame:
+    """(id, mult, key, shingles, guest): members of candidate groups, those of groups beyond a block cut by size.
+
+    Two linked sets differ in size by less than the factor 1 / containment. A large group becomes one of each range of
+    sizes by that factor; a member is at home in its own and a guest in the one above, and guests aren't compared with
+    each other.
+    """
+    big = F.col("shingles") > BLOCK
+    step = F.floor(F.log("size") / -math.log(containment) + 1e-9)
+    places = F.when(big, F.array(F.struct(F.xxhash64("key", step).alias("key"), F.lit(False).alias("guest")), F.struct(F.xxhash64("key", step + 1).alias("key"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("key"), F.lit(False).alias("guest"))))
+    each = members.select("id", "mult", "size", F.explode(places).alias("p")).select("id", "mult", "size", "p.key", "p.guest")
+    total = each.groupBy("key").agg(F.sum("size").alias("shingles"), F.count("*").alias("n"), F.min("guest").alias("_empty"))
+    return common.attach(each, total, "key", "n").where("n > 1 AND NOT _empty").select("id", "mult", "key", "shingles", "guest")
+
+
 def near_groups(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, group_id, n_links, kept of every row of docs (doc_id, text).
 
@@ -243,16 +278,18 @@ def near_groups(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     classes = common.stash(classes, "near-classes")
     members = classes.join(roots, "id").withColumnRenamed("root", "key")
     total = members.groupBy("key").agg(F.sum("size").alias("shingles"), F.count("*").alias("n")).where("n > 1")
-    members = common.stash(common.attach(members, total, "key", "n").where("n > 1").select("id", "mult", "key", "shingles"), "near-members")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id").dropDuplicates(["id"])
+    members = common.stash(by_size(common.attach(members, total, "key", "n").where("n > 1"), containment), "near-members")
+    # members grow with the corpus, so they are never broadcast, whatever their size is taken to be
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.hint("merge"), "id").dropDuplicates(["id", "key"])
     blocks = graph.block_pairs(texts, "key", "shingles", BLOCK)
-    checked = graph.meet(blocks.select("key", "i", "j", "mine", "id", "mult", "text"), "key").mapInArrow(_checked(containment), "id long, links long, other long")
+    checked = graph.meet(blocks.select("key", "i", "j", "mine", "id", "mult", "guest", "text"), "key").mapInArrow(_checked(containment), "id long, links long, other long")
     checked = common.stash(checked, "near-links")
     degrees = checked.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
     roots = common.stash(graph.components(checked.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "near-groups")
     known = classes.join(degrees, "id", "left").join(roots, "id", "left")
     known = common.stash(known.select("digest", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), "near-known")
-    out = common.attach(sets.select("doc_id", "size", "digest"), known, "digest", "mult")
+    own = sets.select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = common.attach(own, known, "digest", "mult")
     group = F.coalesce("root", "doc_id")
     return out.select("doc_id", group.alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 

@@ -1,4 +1,4 @@
-"""Near-duplicate documents by a containment ensemble of MinHash tables.
+"""Near-duplicate documents by an ensemble of MinHash tables for mutual containment.
 
 Documents are partitioned by the size of their shingle set. Two documents are linked where each holds at least a given
 share of the other's shingles; for each partition that containment becomes the least Jaccard similarity its members can
@@ -263,9 +263,9 @@ def by_size(members: DataFrame, containment: float) -> DataFrame:
 def near_groups(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, group_id, n_links, kept of every row of docs (doc_id, text).
 
-    Two documents are linked where either holds at least the share ``containment`` of the other's shingles; group_id is
-    the smallest doc_id that links lead to, n_links the number of documents linked directly, and the row of that id is
-    kept. Texts without words (null and empty ones too) link with nothing. A null id links with nothing, has no group
+    Two documents are linked where each holds at least the share ``containment`` of the other's shingles, so a document
+    within a much longer one isn't linked to it; group_id is the smallest doc_id that links lead to, n_links the number
+    of documents linked directly, and the row of that id is kept. Texts without words (null and empty ones too) link with nothing. A null id links with nothing, has no group
     and is kept; rows that repeat id and text count one by one.
     """
     sets = common.stash(common.scan(docs.select("doc_id", "text"), _sets, "doc_id long, digest binary, size long"), "sets")

@@ -164,11 +164,19 @@ def semantic_edges(nodes_: DataFrame, similarity: DataFrame) -> DataFrame:
     return star.union(near)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+
+
+def _dot(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Products of rows with a vector, each rounded alike wherever its row lies, unlike those of BLAS."""
+    return (x * v).sum(1)
+
+
 def mmr(vectors: np.ndarray, centroid: np.ndarray, most: int = 100, balance: float = 0.5) -> list[int]:
     """Rows by maximal marginal relevance: nearest the centroid first, then near it yet unlike those chosen."""
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
-    x, c = unit(vectors), unit(centroid)
-    relevance = x @ c
+    x, c = _unit(vectors), _unit(centroid)
+    relevance = _dot(x, c)
     chosen: list[int] = []
     nearest = np.full(len(x), -np.inf)
     while len(chosen) < min(most, len(x)):
@@ -177,26 +185,88 @@ def mmr(vectors: np.ndarray, centroid: np.ndarray, most: int = 100, balance: flo
         score[chosen] = -np.inf
         best = int(np.argmax(score))
         chosen.append(best)
-        nearest = np.maximum(nearest, x @ x[best])
+        nearest = np.maximum(nearest, _dot(x, x[best]))
     return chosen
 
 
-def representatives(vectors: DataFrame, cluster: str, key: str, vector: str, most: int = 100, balance: float = 0.5, shortlist: int = 2000) -> DataFrame:
-    """(cluster, rank, key): MMR within each cluster. Only the shortlist nearest the centroid enters a task."""
-    from pyspark.sql import Window
+#: Members of a cluster that enter one task; larger clusters are cut into parts, each of which offers so many at once.
+PART, OFFER = 20_000, 200
+
+
+def representatives(vectors: DataFrame, cluster: str, key: str, vector: str, most: int = 100, balance: float = 0.5, per: int = PART, offer: int = OFFER) -> DataFrame:
+    """(cluster, rank, key): MMR within each cluster, over all its members. Keys are unique; ties go to the smallest.
+
+    Of a cluster of more than ``per`` members each part offers its best by the scores so far, and the next one as a
+    bound. Scores only fall as more are chosen, so what beats all bounds is the best of the cluster; once the bounds
+    are reached the parts offer anew.
+    """
+    from palimpsest.plans.tables import written
 
-    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     mean = centroids(vectors, cluster, vector).groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("_c"))
-    near = vectors.join(mean, cluster).withColumn("_rel", F.aggregate(F.zip_with(vector, "_c", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x) / size)
-    short = near.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("_rel"), key))).where(F.col("_r") <= shortlist)
+    sizes = written(mean.join(vectors.groupBy(cluster).agg(F.count("*").alias("_n")), cluster), "sizes")
     kind = dict(vectors.dtypes)
+    shape = f"{cluster} {kind[cluster]}, rank int, {key} {kind[key]}"
+    rows = vectors.select(cluster, key, vector)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         order = mmr(np.stack(pdf[vector].to_numpy()).astype(float), np.asarray(pdf["_c"].iloc[0], float), most, balance)
         return pd.DataFrame({cluster: pdf[cluster].iloc[0], "rank": range(1, len(order) + 1), key: pdf[key].to_numpy()[order]})
 
-    return short.select(cluster, key, vector, "_c").groupBy(cluster).applyInPandas(pick, f"{cluster} {kind[cluster]}, rank int, {key} {kind[key]}")
+    small = rows.join(sizes.where(F.col("_n") <= per), cluster).groupBy(cluster).applyInPandas(pick, shape)
+    large = sizes.where(F.col("_n") > per)
+    left = large.count()
+    if not left:
+        return small
+
+    def offers(own: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or side.empty:
+            return pd.DataFrame({c: [] for c in (cluster, key, "_rel", "_near", "_x", "_bound")})
+        own, side = own.sort_values(key), side.iloc[0]
+        x = _unit(np.stack(own[vector].to_numpy()).astype(float))
+        relevance, nearest = _dot(x, _unit(np.asarray(side["_c"], float))), np.full(len(x), -np.inf)
+        for v in side["_xs"]:
+            nearest = np.maximum(nearest, _dot(x, np.asarray(v, float)))
+        score = relevance if not len(side["_keys"]) else balance * relevance - (1 - balance) * nearest
+        score = np.where(own[key].isin(list(side["_keys"])), -np.inf, score)
+        order = np.argsort(-score, kind="stable")[: offer + 1]
+        order = order[score[order] > -np.inf]
+        return pd.DataFrame({cluster: own[cluster].iloc[0], key: own[key].to_numpy()[order], "_rel": relevance[order], "_near": nearest[order], "_x": list(x[order]), "_bound": np.arange(len(order)) == offer})
+
+    def advance(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        keys, x, relevance, nearest, bound = pdf[key].to_numpy(), np.stack(pdf["_x"].to_numpy()), pdf["_rel"].to_numpy(), pdf["_near"].to_numpy().copy(), pdf["_bound"].to_numpy(bool)
+        before, had = pdf["_had"].iloc[0], np.isfinite(nearest).any()
+        limit = (balance * relevance - (1 - balance) * nearest if had else relevance)[bound]
+        limit = min(zip(-limit, keys[bound]), default=None)
+        chosen: list[int] = []
+        while before + len(chosen) < most and len(chosen) < (~bound).sum():
+            score = balance * relevance - (1 - balance) * nearest if had else relevance.copy()
+            score[bound] = -np.inf
+            score[chosen] = -np.inf
+            best = int(np.argmax(score))
+            if limit is not None and (-score[best], keys[best]) >= limit:
+                break
+            chosen.append(best)
+            nearest = np.maximum(nearest, _dot(x, x[best]))
+            if not had:
+                break  # the first is taken by relevance alone, which is no bound of later scores
+        return pd.DataFrame({cluster: pdf[cluster].iloc[0], "rank": range(before + 1, before + len(chosen) + 1), key: keys[chosen], "_x": list(x[chosen])})
+
+    part = F.expr(f"int(pmod(xxhash64(`{key}`), ceil(_n / {per})))")
+    members = written(rows.join(large.select(cluster, "_n"), cluster).withColumn("_part", part).drop("_n").repartition(cluster, "_part"), "members")
+    chosen = written(vectors.sparkSession.createDataFrame([], f"{shape}, _x array<double>"), "chosen")
+    while left:
+        so_far = chosen.groupBy(cluster).agg(F.collect_list(key).alias("_keys"), F.collect_list("_x").alias("_xs"), F.count("*").cast("int").alias("_had"))
+        open_ = large.join(so_far, cluster, "left").withColumns({"_keys": F.coalesce("_keys", F.array().cast(f"array<{kind[key]}>")), "_xs": F.coalesce("_xs", F.array().cast("array<array<double>>")), "_had": F.coalesce("_had", F.lit(0))})
+        open_ = open_.where(F.col("_had") < F.least("_n", F.lit(most)))
+        side = open_.withColumn("_part", F.explode(F.expr(f"sequence(0, int(ceil(_n / {per})) - 1)")))
+        offered = members.groupBy(cluster, "_part").cogroup(side.groupBy(cluster, "_part")).applyInPandas(offers, f"{cluster} {kind[cluster]}, {key} {kind[key]}, _rel double, _near double, _x array<double>, _bound boolean")
+        new = offered.join(open_.select(cluster, "_had"), cluster).groupBy(cluster).applyInPandas(advance, f"{shape}, _x array<double>")
+        chosen = written(chosen.unionByName(new), "chosen")
+        done = chosen.groupBy(cluster).agg(F.count("*").alias("_got"))
+        left = large.join(done, cluster, "left").where(F.coalesce("_got", F.lit(0)) < F.least("_n", F.lit(most))).count()
+    return small.unionByName(chosen.drop("_x"))
 
 
 def unique_labels(labels: DataFrame, cluster: str = "cluster", label: str = "label") -> DataFrame:

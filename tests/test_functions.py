@@ -70,6 +70,18 @@ def test_mmr_prefers_what_is_unlike():
     assert network.mmr(x, np.array([1.0, 0.3]), 2) == [0, 2] or network.mmr(x, np.array([1.0, 0.3]), 2) == [1, 2]
 
 
+@pytest.mark.parametrize("parts", [{}, {"per": 700, "offer": 20}])
+def test_representatives_of_a_large_cluster_are_those_of_all_its_members(spark, parts):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal([3, 1, 0, 0, 0, 0], 1, (2500, 6)), rng.normal(0, 1, (500, 6)), rng.normal(0, 1, (40, 6))])
+    x[7] = x[3]
+    label = np.repeat([0, 1], [3000, 40])
+    rows = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, label int, v array<double>")
+    got = {(r["label"], r["rank"]): r["id"] for r in network.representatives(rows, "label", "id", "v", **parts).collect()}
+    want = {(c, k + 1): int(np.flatnonzero(label == c)[i]) for c in (0, 1) for k, i in enumerate(network.mmr(x[label == c], x[label == c].mean(0)))}
+    assert got == want
+
+
 def test_dense_similarity_against_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8))

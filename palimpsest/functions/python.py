@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+#: Beyond so many bits of rows kept for the way back, a diff is cut in two where its halves have the most in common.
+BITS = 1 << 28
+
 
 def diff_parts(a: str | None, b: str | None) -> list[dict]:
     """What two passages share and where they differ, as pieces: equal, delete or insert. White space is squeezed first."""
@@ -22,9 +26,113 @@ def diff_parts(a: str | None, b: str | None) -> list[dict]:
     return out
 
 
+def _rows(x: str, y: str):
+    """After each character of x, an integer whose zero bits are where the longest common subsequence with y grows."""
+    full = (1 << len(y)) - 1
+    masks: dict[str, int] = {}
+    for k, c in enumerate(y):
+        masks[c] = masks.get(c, 0) | 1 << k
+    v = full
+    for c in x:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(x: str, y: str) -> np.ndarray:
+    """Length of the longest common subsequence of x with each prefix of y."""
+    v = (1 << len(y)) - 1
+    for v in _rows(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def edits(x: str, y: str) -> list[tuple[str, str]]:
+    """(op, text) with the most equal characters there can be; runs of one op may follow each other."""
+    k = 0
+    while k < min(len(x), len(y)) and x[k] == y[k]:
+        k += 1
+    if k:
+        return [("equal", x[:k]), *edits(x[k:], y[k:])]
+    while k < min(len(x), len(y)) and x[-1 - k] == y[-1 - k]:
+        k += 1
+    if k:
+        return [*edits(x[:-k], y[:-k]), ("equal", x[-k:])]
+    if not x or not y:
+        return [("delete", x)] * bool(x) + [("insert", y)] * bool(y)
+    if len(x) > 1 and len(x) * len(y) > BITS:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return [*edits(x[:half], y[:cut]), *edits(x[half:], y[cut:])]
+    rows = list(_rows(x, y))
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1  # this character of y adds nothing
+            out.append(("insert", y[j]))
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1
+            out.append(("delete", x[i]))
+        else:
+            i, j = i - 1, j - 1
+            out.append(("equal", x[i]))
+    out += [("delete", c) for c in reversed(x[:i])] + [("insert", c) for c in reversed(y[:j])]
+    return out[::-1]
+
+
+def joined(parts: list[tuple[str, str]]) -> list[list[str]]:
+    """Pieces with neighbours of one op put together: between two equal ones at most a delete and then an insert."""
+    out: list[list[str]] = []
+    gone = new = ""
+    for op, text in [*parts, ("equal", "")]:
+        if op == "delete":
+            gone += text
+        elif op == "insert":
+            new += text
+        else:
+            if gone:
+                out.append(["delete", gone])
+            if new:
+                out.append(["insert", new])
+            if text and out and out[-1][0] == "equal":
+                out[-1][1] += text
+            elif text:
+                out.append(["equal", text])
+            gone = new = ""
+    return out
+
+
+def cleaned(parts: list[list[str]]) -> list[list[str]]:
+    """Pieces without equal ones that are no longer than the edits on either side; those count as deleted and inserted."""
+    kept: list[list] = [[0, 0, ""]]  # deleted and inserted before an equal piece, and it
+    texts: list[list[str]] = [["", "", ""]]
+    for op, text in [*parts, ["equal", ""]]:
+        if op != "equal":
+            k = int(op == "insert")
+            kept[-1][k] += len(text)
+            texts[-1][k] += text
+            while len(kept) > 1 and (same := texts[-2][2]) and len(same) <= max(kept[-2][:2]) and len(same) <= max(kept[-1][:2]):
+                d, i, _ = texts.pop()
+                kept.pop()
+                texts[-1] = [texts[-1][0] + same + d, texts[-1][1] + same + i, ""]
+                kept[-1] = [len(texts[-1][0]), len(texts[-1][1]), ""]
+        else:
+            texts[-1][2] = text
+            texts.append(["", "", ""])
+            kept.append([0, 0, ""])
+    return joined([x for d, i, same in texts for x in (("delete", d), ("insert", i), ("equal", same)) if x[1]])
+
+
+def character_parts(a: str | None, b: str | None) -> list[dict]:
+    """The pieces of two passages by character, white space squeezed: equal and delete make up a, equal and insert b."""
+    x, y = " ".join((a or "").split()), " ".join((b or "").split())
+    return [{"op": op, "text": text} for op, text in cleaned(joined(edits(x, y)))]
+
+
 def diff():
     @F.pandas_udf("array<struct<op:string,text:string>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([diff_parts(x, y) for x, y in zip(a, b)])
+        return pd.Series([character_parts(x, y) for x, y in zip(a, b)])
 
     return run

@@ -49,6 +49,31 @@ def test_diff():
     assert diff_parts("a b  c", "a x c") == [{"op": "equal", "text": "a"}, {"op": "delete", "text": "b"}, {"op": "insert", "text": "x"}, {"op": "equal", "text": "c"}]
 
 
+def test_character_diff_keeps_the_most_equal_characters(spark, monkeypatch):
+    import random
+
+    from palimpsest.functions import python as D
+
+    rng = random.Random(4)
+    for bits in (D.BITS, 30):
+        monkeypatch.setattr(D, "BITS", bits)
+        for _ in range(300):
+            x, y = ("".join(rng.choice("abc é") for _ in range(rng.randrange(25))) for _ in range(2))
+            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i, c in enumerate(x):
+                for j, d in enumerate(y):
+                    best[i + 1][j + 1] = best[i][j] + 1 if c == d else max(best[i][j + 1], best[i + 1][j])
+            raw = D.joined(D.edits(x, y))
+            assert sum(len(t) for op, t in raw if op == "equal") == best[-1][-1]
+            a, b = " ".join(x.split()), " ".join(y.split())
+            for parts in (raw, [(p["op"], p["text"]) for p in D.character_parts(x, y)]):
+                p, q = (x, y) if parts is raw else (a, b)
+                assert "".join(t for op, t in parts if op != "insert") == p and "".join(t for op, t in parts if op != "delete") == q
+    rows = spark.createDataFrame([("an honour", "an honor")], "a string, b string")
+    got = rows.select(D.diff()("a", "b").alias("d")).first()["d"]
+    assert [tuple(p) for p in got] == [("equal", "an hono"), ("delete", "u"), ("equal", "r")]
+
+
 def test_phrases_by_expression_and_by_automaton_agree(spark):
     rows = spark.createDataFrame([(1, "Under the, License!"), (2, "nothing"), (3, None)], "id int, text string")
     few = {r["id"]: r["phrase_match"] for r in cleaning.phrase_matches(rows, ["the license"]).collect()}

@@ -21,9 +21,12 @@ WORD = re.compile(r"[^\W\d_]+")
 PLACES = 1 << 20
 #: At most so many labelled texts are learned from; which ones depends on a hash of their ids.
 TRAINING_ROWS = 12_000
-#: Terms with a weight: those whose presence is furthest from chance between the two labels.
-TERMS, LEAST_TEXTS, LEAST_Z = 1024, 3, 2.5
+#: Terms of at least so many training texts have a weight and a vector.
+LEAST_TEXTS = 3
 RANK, EPOCHS, RATE, DECAY = 4, 300, 0.05, 1e-3
+#: Pull of weights and of vectors towards zero for a term that is alike under both labels, as of a normal prior; it falls
+#: off where the z-score of the difference exceeds LEAST_Z. Each term can be learned, those without such evidence need more.
+LEAST_Z, POWER, WEIGHT_PULL, VECTOR_PULL = 2.5, 32, 3e-3, 1e-2
 THRESHOLD = 0.7
 
 
@@ -41,7 +44,7 @@ def places(text: str, known: dict[str, int]) -> set[int]:
 
 @dataclass
 class Machine:
-    """Factorization machine over the presence of chosen terms: bias, weights and vectors by row of terms."""
+    """Factorization machine over the presence of terms: bias, weights and vectors by row of terms, whose keys ascend."""
 
     bias: float
     terms: dict[int, int]
@@ -49,54 +52,72 @@ class Machine:
     vectors: np.ndarray
 
     def score(self, texts: list[str], known: dict) -> np.ndarray:
-        out = np.full(len(texts), self.bias)
-        for i, text in enumerate(texts):
-            rows = sorted(self.terms[p] for p in places(text, known) if p in self.terms)
-            if rows:
-                v = self.vectors[rows]
-                out[i] += self.weights[rows].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
+        out, n = np.full(len(texts), self.bias), len(texts)
+        if self.terms and n:
+            own = [places(t, known) for t in texts]
+            key = np.fromiter((p for s in own for p in s), np.int64) + np.repeat(np.arange(n, dtype=np.int64) * PLACES, [len(s) for s in own])
+            key.sort()
+            owner, place = key // PLACES, key % PLACES
+            terms = np.fromiter(self.terms, np.int64, len(self.terms))
+            row = np.minimum(np.searchsorted(terms, place), len(terms) - 1)
+            met = terms[row] == place
+            owner, row = owner[met], row[met]
+            out += np.bincount(owner, self.weights[row] - 0.5 * (self.vectors**2).sum(1)[row], n)
+            for v in self.vectors.T:
+                out += 0.5 * np.bincount(owner, v[row], n) ** 2
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def choose(features: list[np.ndarray], labels: np.ndarray) -> list[int]:
-    """Terms by the z-score of the difference of their log odds between the labels, furthest first; ties by place."""
-    pos = np.bincount(np.concatenate([f for f, y in zip(features, labels) if y] or [np.zeros(0, int)]), minlength=PLACES)
-    neg = np.bincount(np.concatenate([f for f, y in zip(features, labels) if not y] or [np.zeros(0, int)]), minlength=PLACES)
-    here = np.flatnonzero(pos + neg >= LEAST_TEXTS)
-    p, n = pos[here] + 0.5, neg[here] + 0.5
-    z = (np.log(p / (labels.sum() + 1 - p + 0.5)) - np.log(n / ((1 - labels).sum() + 1 - n + 0.5))) / np.sqrt(1 / p + 1 / n)
-    order = np.lexsort((here, -np.abs(z)))
-    return [int(here[i]) for i in order[:TERMS] if abs(z[i]) >= LEAST_Z]
+def evidence(col: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Each term's z-score of the difference of its log odds between the labels."""
+    p = np.bincount(col, labels[owner]) + 0.5
+    n = np.bincount(col, 1 - labels[owner]) + 0.5
+    return (np.log(p / (labels.sum() + 1 - p + 0.5)) - np.log(n / ((1 - labels).sum() + 1 - n + 0.5))) / np.sqrt(1 / p + 1 / n)
 
 
 def fit(features: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Machine by full-batch Adam on the logistic loss. Without both labels it scores the share of label 1 (none: 0)."""
+    """Machine by full-batch Adam on the logistic loss. Without both labels it scores the share of label 1 (none: 0).
+
+    Every term of at least LEAST_TEXTS texts is learned; only the places of terms that are there are held and visited.
+    """
     n, share = len(labels), float(labels.mean()) if len(labels) else 0.0
     prior = float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -9, 9))
-    terms = choose(features, labels) if 0 < share < 1 else []
-    at = {t: i for i, t in enumerate(terms)}
+    place = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
+    owner = np.repeat(np.arange(n), [len(f) for f in features])
+    here = np.flatnonzero(np.bincount(place, minlength=PLACES) >= LEAST_TEXTS) if 0 < share < 1 else np.zeros(0, np.int64)
+    at = {int(t): i for i, t in enumerate(here)}
     rng = np.random.default_rng(7)
-    bias, w, v = np.array([prior]), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK))
-    if not terms:
-        return Machine(prior, at, w, v)
-    x = np.zeros((n, len(terms)), np.float32)
-    for i, f in enumerate(features):
-        x[i, [at[t] for t in f.tolist() if t in at]] = 1
-    # equal rows count once, with their number
-    keys, first, back = np.unique(np.packbits(x > 0, axis=1), axis=0, return_index=True, return_inverse=True)
-    total, ones = np.bincount(back.ravel(), minlength=len(keys)), np.bincount(back.ravel(), weights=labels, minlength=len(keys))
-    x = x[first]
+    bias, w, v = np.array([prior]), np.zeros(len(here)), rng.normal(0, 0.01, (RANK, len(here)))
+    if not len(here):
+        return Machine(prior, at, w, v.T)
+    col = np.minimum(np.searchsorted(here, place), len(here) - 1)
+    met = here[col] == place
+    owner, col = owner[met], col[met]
+    full, begins = np.unique(owner, return_index=True)  # texts with a term, and where theirs begin
+    order = np.argsort(col, kind="stable")
+    by_term, of_term = owner[order], np.searchsorted(col[order], np.arange(len(here)))
+
+    def per_text(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[full] = np.add.reduceat(values[col], begins)
+        return out
+
+    def per_term(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[by_term], of_term)
+
+    pull = 1 / (1 + (np.abs(evidence(col, owner, labels)) / LEAST_Z) ** POWER)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (bias, w, v)]
     for step in range(1, EPOCHS + 1):
-        xv = x @ v
-        raw = bias + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
-        error = (total / (1 + np.exp(-np.clip(raw, -30, 30))) - ones) / n
-        grads = [np.array([error.sum()]), x.T @ error + DECAY * w / len(w), x.T @ (error[:, None] * xv) - (x.T @ error)[:, None] * v + DECAY * v]
+        xv = np.stack([per_text(k) for k in v])
+        raw = bias + per_text(w - 0.5 * (v**2).sum(0)) + 0.5 * (xv**2).sum(0)
+        error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels) / n
+        single = per_term(error)
+        grads = [np.array([error.sum()]), single + WEIGHT_PULL * pull * w, np.stack([per_term(error * k) for k in xv]) - single * v + (DECAY + VECTOR_PULL * pull) * v]
         for p, g, (m, s) in zip((bias, w, v), grads, state):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(bias[0]), at, w, v)
+    return Machine(float(bias[0]), at, w, np.ascontiguousarray(v.T))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -145,6 +145,24 @@ def test_machine_learns_a_pair_that_no_sum_of_weights_can():
     assert raw(rows) > 0 > max(raw(rows[:1]), raw(rows[1:]))
 
 
+def test_machine_learns_a_pair_of_terms_that_are_neutral_alone():
+    """Label 1 where exactly one of two terms occurs, among other words: neither says anything without the other."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for k in range(1200):
+        a, b = k % 2, k // 2 % 2
+        rows.append(np.unique(np.concatenate([[7] * a, [9] * b, rng.integers(100, 400, 8)]).astype(np.int64)))
+        labels.append(a ^ b)
+    m = toxicity.fit(rows[:800], np.array(labels[:800]))
+    assert {7, 9} <= set(m.terms) and list(m.terms) == sorted(m.terms) and len(m.terms) == 302
+    raw = []
+    for f in rows[800:]:
+        at = [m.terms[p] for p in f.tolist()]
+        v = m.vectors[at]
+        raw.append(m.bias + m.weights[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()))
+    assert np.mean((np.array(raw) > 0) == np.array(labels[800:], bool)) > 0.95
+
+
 def test_packing(spark):
     tool = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     rows = mixed() + [(30 + i, prose(50 + i, 10 + 37 * i % 300)) for i in range(60)]

@@ -1,9 +1,10 @@
 """Best-fit packing by bin completion.
 
 Pieces of equal length are alike, so the whole problem is a table of lengths and counts, with at most as many rows as a
-sequence has tokens however many documents there are. Over that table, the largest piece left is completed with the
-undominated filling that wastes least, found by branch and bound with the best-fit filling as the incumbent; a filling
-is used as often as the counts allow. Pieces then find their place by their number within their length.
+sequence has tokens however many documents there are. Over that table a depth-first search completes the sequence of the
+largest piece left: its undominated fillings are enumerated in order of waste, a branch ends where the waste so far is
+more than a better packing can have, and best fit is the first incumbent. Pieces then find their place by their number
+within their length.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,124 +21,223 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common
 
 LENGTH = 2048
-#: Branch-and-bound nodes for one filling; then the best so far is taken.
-NODES = 4000
+#: Fillings that the search looks at, dominated ones included, before the best packing found so far stands. Bin packing
+#: is NP-hard, so some end is needed; it limits the search only, every piece is placed in any case.
+NODES = 50_000
 #: Pieces of one length are numbered in so many parts.
 PARTS = 64
 #: A worker forgets encoded words beyond so many.
 WORDS = 500_000
 
+#: Distinct lengths of a sequence's pieces, largest first, and how many of each.
+Filling = list[tuple[int, int]]
 
-def best_fit(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
-    """Greedy filling: again and again the longest piece that still fits. lengths ascend."""
-    out, used = [], {}
+
+def best_fit(room: int, lengths: list[int], left: dict[int, int]) -> Filling:
+    """Greedy filling: again and again the longest piece that still fits, as often as it does. lengths ascend."""
+    out: Filling = []
     k = bisect_right(lengths, room) - 1
     while k >= 0 and room > 0:
         size = lengths[k]
-        if size <= room and left[size] - used.get(size, 0) > 0:
-            out.append(size)
-            used[size] = used.get(size, 0) + 1
-            room -= size
-            k = min(k, bisect_right(lengths, room) - 1)
-        else:
-            k -= 1
+        if n := min(left[size], room // size):
+            out.append((size, n))
+            room -= n * size
+        k = min(k, bisect_right(lengths, room)) - 1
+    return out
+
+
+def reachable(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
+    """For each k a bit set of the sums up to room that pieces of the first k lengths can have."""
+    out, sums, mask = [1], 1, (1 << room + 1) - 1
+    for size in lengths:
+        n, step = min(left[size], room // size), 1
+        while n > 0:
+            step = min(step, n)
+            sums |= sums << step * size & mask
+            n -= step
+            step *= 2
+        out.append(sums)
     return out
 
 
-def complete(room: int, lengths: list[int], left: dict[int, int], nodes: int = NODES) -> list[int]:
-    """Pieces of those left that fill room with least waste; of equal waste the filling with the fewest, largest pieces.
+def dominated(filling: Filling, waste: int, lengths: list[int], left: dict[int, int]) -> bool:
+    """Whether one piece that is left over could join the filling, or stand in for some of it: no shorter, and it still fits.
 
-    A filling is dominated where a longer piece fits in place of one or more of its own, so pieces are tried longest
-    first and a branch ends as soon as what it could still place can't lessen the waste of the incumbent.
+    The pieces that it replaces are then free for other sequences, where they fit wherever it did.
     """
-    best = best_fit(room, lengths, left)
-    waste = room - sum(best)
-    if waste == 0 or not lengths or not nodes:
-        return best
-    below = [0]  # tokens in all pieces up to a length
+    used = dict(filling)
+    over = 0
     for size in lengths:
-        below.append(below[-1] + size * left[size])
-    budget = nodes
-    chosen: list[int] = []
-
-    def branch(k: int, free: int) -> bool:
-        """Pieces from lengths[:k + 1]; True once nothing is wasted or the nodes are spent."""
-        nonlocal best, waste, budget
-        if free < waste:
-            waste, best = free, chosen.copy()
-            if waste == 0:
-                return True
-        k = min(k, bisect_right(lengths, free) - 1)
-        while k >= 0:
-            if free - min(free, below[k + 1]) >= waste:
-                return False  # waste bound
-            budget -= 1
-            if budget <= 0:
-                return True
-            size = lengths[k]
-            if left[size] > 0:
-                left[size] -= 1
-                chosen.append(size)
-                done = branch(k, free - size)
-                chosen.pop()
-                left[size] += 1
-                if done:
-                    return True
+        if left[size] > used.get(size, 0):
+            over |= 1 << size
+    if over & (1 << waste + 1) - 1:
+        return True
+    one, more = 0, 0  # sums of exactly one piece, and of several
+    for size, n in filling:
+        for _ in range(n):
+            grown = more | more << size | one << size
+            if grown == more and one >> size & 1:
+                break
+            more, one = grown, one | 1 << size
+    return any((more | one if w else more) << w & over for w in range(waste + 1))
+
+
+def fillings(room: int, lengths: list[int], left: dict[int, int], most: int) -> Iterator[tuple[int, Filling | None]]:
+    """(waste, filling) of every undominated filling of room that wastes at most ``most``, least waste first.
+
+    Each step of the enumeration leads to a filling, for sums that can't be reached are known beforehand; a dominated
+    one is given as None, so that the caller can count it.
+    """
+    reach = reachable(room, lengths, left)
+
+    def exact(k: int, rest: int) -> Iterator[Filling]:
+        """Fillings of exactly rest by the first k lengths. Lengths in a filling differ, so this is at most about 2 x sqrt(rest) deep."""
+        if not rest:
+            yield []
+            return
+        k = min(k, bisect_right(lengths, rest))
+        while k and reach[k] >> rest & 1:
+            size = lengths[k - 1]
+            for n in range(min(left[size], rest // size), 0, -1):
+                if reach[k - 1] >> rest - n * size & 1:
+                    for tail in exact(k - 1, rest - n * size):
+                        yield [(size, n), *tail]
             k -= 1
-        return False
 
-    branch(len(lengths) - 1, room)
+    for waste in range(min(most, room) + 1):
+        if reach[-1] >> room - waste & 1:
+            for filling in exact(len(lengths), room - waste):
+                yield waste, None if dominated(filling, waste, lengths, left) else filling
+
+
+def bound(counts: dict[int, int], length: int) -> int:
+    """Sequences needed at least: that of all tokens, and for each alpha that of pieces which longer ones leave no room for."""
+    number, tokens = np.zeros(length + 2, np.int64), np.zeros(length + 2, np.int64)
+    for size, n in counts.items():
+        number[size + 1], tokens[size + 1] = n, size * n
+    number, tokens = np.cumsum(number), np.cumsum(tokens)  # of pieces shorter than the index
+    half = length // 2 + 1
+    best = -(-int(tokens[-1]) // length)
+    for alpha in range(half):
+        large = int(number[-1] - number[length - alpha + 1])
+        middle, room = int(number[length - alpha + 1] - number[half]), int(tokens[length - alpha + 1] - tokens[half])
+        small = int(tokens[half] - tokens[alpha])
+        best = max(best, large + middle + max(0, -(-(small - (middle * length - room)) // length)))
     return best
 
 
-def filled(counts: dict[int, int], length: int, nodes: int) -> list[tuple[int, list[int]]]:
-    """Fillings around the largest piece left, again and again, each with so many branch-and-bound nodes."""
+def _use(left: dict[int, int], lengths: list[int], filling: Filling, times: int) -> None:
+    for size, n in filling:
+        left[size] -= n * times
+        if not left[size]:
+            del left[size], lengths[bisect_right(lengths, size) - 1]
+
+
+def _undo(left: dict[int, int], lengths: list[int], filling: Filling, times: int) -> None:
+    for size, n in filling:
+        if size not in left:
+            left[size] = 0
+            lengths.insert(bisect_right(lengths, size), size)
+        left[size] += n * times
+
+
+def greedy(counts: dict[int, int], length: int) -> list[tuple[int, Filling]]:
+    """Best fit around the largest piece left, each filling as often as the counts allow."""
     left = {s: n for s, n in counts.items() if s > 0 and n > 0}
-    lengths = sorted(left)
-    out = []
+    lengths, out = sorted(left), []
     while lengths:
         top = lengths[-1]
-        left[top] -= 1
-        filling = [top, *complete(length - top, lengths, left, nodes)]
-        left[top] += 1
-        uses = {s: filling.count(s) for s in set(filling)}
-        times = min(left[s] // n for s, n in uses.items())
+        _use(left, lengths, [(top, 1)], 1)
+        filling = _with(top, best_fit(length - top, lengths, left))
+        _undo(left, lengths, [(top, 1)], 1)
+        times = min(left[s] // n for s, n in filling)
         out.append((times, filling))
-        for s, n in uses.items():
-            left[s] -= times * n
-            if not left[s]:
-                del left[s]
-                lengths.remove(s)
+        _use(left, lengths, filling, times)
     return out
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
-    """(times, lengths of pieces) so that every piece is placed. A length of zero takes no room and no place.
+def _with(top: int, rest: Filling) -> Filling:
+    return [(top, rest[0][1] + 1), *rest[1:]] if rest and rest[0][0] == top else [(top, 1), *rest]
+
+
+def plan(counts: dict[int, int], length: int = LENGTH, nodes: int = NODES) -> list[tuple[int, Filling]]:
+    """(times, filling) so that every piece is placed. A length of zero takes no room and no place.
 
-    Best fit alone is the incumbent; bin completion replaces it if it needs fewer sequences, and neither is searched
-    further once the bound of all tokens over the length is met.
+    Best fit is the first incumbent. The search goes depth first; at each step a filling is used as often as the counts
+    allow or, as another branch, once. It ends with a packing that meets the bound, with every branch closed, or after
+    so many nodes.
     """
-    least = -(-sum(s * n for s, n in counts.items()) // length)
-    best: list[tuple[int, list[int]]] = []
-    for nodes in (NODES, 0):
-        made = filled(counts, length, nodes)
-        if not best or sum(t for t, _ in made) < sum(t for t, _ in best):
-            best = made
-        if sum(t for t, _ in best) <= least:
+    best = greedy(counts, length)
+    most, tokens = sum(t for t, _ in best), sum(s * n for s, n in counts.items())
+    least = bound(counts, length)
+    left = {s: n for s, n in counts.items() if s > 0 and n > 0}
+    lengths = sorted(left)
+    path: list[tuple[int, int, Filling, int]] = []  # option, times, filling, waste of one
+    wasted = used = 0
+
+    def options() -> Iterator[tuple[int, Filling, int]]:
+        """(times, filling, waste) for the largest piece left; None counts as a node without a branch."""
+        top = lengths[-1]
+        allowed = (most - 1) * length - tokens - wasted
+        _use(left, lengths, [(top, 1)], 1)
+        first = _with(top, best_fit(length - top, lengths, left))
+        others = fillings(length - top, lengths.copy(), left.copy(), allowed)
+        _undo(left, lengths, [(top, 1)], 1)
+        waste = length - sum(s * n for s, n in first)
+
+        def branches(waste: int, filling: Filling):
+            times = min(left[s] // n for s, n in filling)
+            times = min(times, allowed // waste) if waste else times
+            if times:
+                yield times, filling, waste
+            if times > 1:
+                yield 1, filling, waste
+
+        if not waste:
+            yield from branches(0, first)
+        for waste, rest in others:
+            if rest is None:
+                yield 0, [], 0
+            elif (filling := _with(top, rest)) != first or waste:
+                yield from branches(waste, filling)
+
+    skip = 0
+    while most > least and nodes > 0:
+        chosen = None
+        if lengths:
+            for option, (times, filling, waste) in enumerate(options()):
+                nodes -= option >= skip
+                if option >= skip and times:
+                    chosen = option, times, filling, waste
+                    break
+                if nodes <= 0:
+                    break
+        elif used < most:
+            best, most = [(times, filling) for _, times, filling, _ in path], used
+        if chosen:
+            path.append(chosen)
+            _use(left, lengths, chosen[2], chosen[1])
+            wasted, used, skip = wasted + chosen[1] * chosen[3], used + chosen[1], 0
+        elif path:
+            option, times, filling, waste = path.pop()
+            _undo(left, lengths, filling, times)
+            wasted, used, skip = wasted - times * waste, used - times, option + 1
+        else:
             break
     return best
 
 
-def places(made: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
+def places(made: list[tuple[int, Filling]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first number, numbers, first sequence, offset): pieces of a length, by number, to their places."""
     seen: dict[int, int] = {}
     out, sequence = [], 0
     for times, filling in made:
         offset = 0
-        for size in filling:
-            out.append((size, seen.get(size, 0), times, sequence, offset))
-            seen[size] = seen.get(size, 0) + times
-            offset += size
+        for size, n in filling:
+            for _ in range(n):
+                out.append((size, seen.get(size, 0), times, sequence, offset))
+                seen[size] = seen.get(size, 0) + times
+                offset += size
         sequence += times
     return out
 

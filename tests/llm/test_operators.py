@@ -183,24 +183,88 @@ def test_packing(spark):
     assert packing.pack(empty(spark), tokenizer("word_bpe_49k.json")).count() == 0
 
 
-def test_bin_completion_is_never_worse_than_best_fit_and_near_optimal():
+def placed(made, length):
+    out = collections.Counter()
+    for times, filling in made:
+        assert times > 0 and sum(s * n for s, n in filling) <= length
+        for s, n in filling:
+            out[s] += times * n
+    return out
+
+
+def fewest(items, length):
+    """Sequences that a full search needs."""
+    best = [len(items)]
+
+    def rec(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in {room: b for b, room in enumerate(bins)}.values():
+            if bins[b] + items[i] <= length:
+                bins[b] += items[i]
+                rec(i + 1, bins)
+                bins[b] -= items[i]
+        rec(i + 1, [*bins, items[i]])
+
+    items.sort(reverse=True)
+    rec(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal_on_small_tables_and_never_worse_than_best_fit():
     rng = random.Random(8)
-    for _ in range(20):
-        counts = collections.Counter(rng.randrange(1, 200) for _ in range(rng.randrange(1, 120)))
-        made = packing.plan(dict(counts), 200)
-        placed = collections.Counter()
-        for times, filling in made:
-            assert sum(filling) <= 200
-            for s in filling:
-                placed[s] += times
-        assert placed == counts
-        bins, left = 0, dict(counts)
-        while any(left.values()):
-            size = sorted(s for s in left if left[s])
-            for s in packing.best_fit(200, size, left):
-                left[s] -= 1
-            bins += 1
-        assert sum(t for t, _ in made) <= bins
+    better = 0
+    for _ in range(150):
+        length = rng.choice([10, 20, 30, 50])
+        items = [rng.randrange(max(1, length // 8), length * 2 // 3) for _ in range(rng.randrange(1, 11))]
+        counts = dict(collections.Counter(items))
+        made, least = packing.plan(counts, length), fewest(items, length)
+        assert placed(made, length) == counts and sum(t for t, _ in made) == least >= packing.bound(counts, length)
+        better += sum(t for t, _ in packing.greedy(counts, length)) > least
+    assert better
+    for _ in range(10):
+        counts = dict(collections.Counter(rng.randrange(30, 90) for _ in range(300)))
+        made = packing.plan(counts, 200, 3000)
+        assert placed(made, 200) == counts and sum(t for t, _ in made) < sum(t for t, _ in packing.greedy(counts, 200))
+
+
+@pytest.mark.parametrize(
+    ("counts", "least"),
+    [({2: 3000, 5: 1}, 3), ({2: 5000, 1000: 1, 7: 3}, 6), ({2048: 3, 1: 1}, 4), ({1025: 40}, 40), ({}, 0), ({3: 0}, 0), ({0: 5}, 0), ({683: 8, 700: 1}, 5), ({1: 100_000_000, 2047: 7}, 48836)],
+)
+def test_plans_of_tables_that_are_odd(counts, least):
+    made = packing.plan(counts)
+    assert placed(made, packing.LENGTH) == {s: n for s, n in counts.items() if s and n} and sum(t for t, _ in made) == least
+
+
+def test_fillings_are_undominated_and_complete():
+    """Against all subsets: each filling is one of those that no left-over piece improves, and none of them is missing."""
+    rng = random.Random(4)
+    for _ in range(60):
+        room, left = rng.randrange(5, 25), {rng.randrange(1, 15): rng.randrange(1, 3) for _ in range(5)}
+        items = [s for s, n in left.items() for _ in range(n)]
+        want = set()
+        for mask in range(1 << len(items)):
+            some = [x for i, x in enumerate(items) if mask >> i & 1]
+            if (waste := room - sum(some)) < 0:
+                continue
+            rest = list(items)
+            for x in some:
+                rest.remove(x)
+            parts = {(sum(y for i, y in enumerate(some) if m >> i & 1), bin(m).count("1")) for m in range(1, 1 << len(some))}
+            if not any(s <= x <= s + waste and (x > s or n > 1) for x in rest for s, n in parts) and not any(x <= waste for x in rest):
+                want.add((waste, tuple(sorted(some))))
+        got = [(w, tuple(sorted(s for s, n in f for _ in range(n)))) for w, f in packing.fillings(room, sorted(left), left, room) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want and [w for w, _ in got] == sorted(w for w, _ in got)
+
+
+def test_packing_of_many_one_word_documents(spark):
+    rows = [(i, "word") for i in range(3000)] + [(5000, "four words are here")]
+    got = packing.pack(docs(spark, rows), tokenizer("word_bpe_49k.json")).collect()
+    assert len(got) == 3001 and len({r["sequence_id"] for r in got}) == -(-sum(r["length"] for r in got) // 2048)
 
 
 def test_bpe_round_trip(spark):

@@ -10,7 +10,9 @@ within their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -242,13 +244,14 @@ def places(made: list[tuple[int, Filling]]) -> list[tuple[int, int, int, int, in
     return out
 
 
-class Tokens:
-    """Ids of whole texts by a vocabulary file of the tokenizers library, word by word from a store of known words.
+class Tokens(dict):
+    """Ids of whole texts by a vocabulary file of the tokenizers library, word by word: known words to their ids' bytes.
 
     The vocabulary drops white space, so a text is the words between ASCII blanks, each encoded on its own.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -256,9 +259,10 @@ class Tokens:
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
-        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+").findall
+        self.tokenize = self.tool.model.tokenize
         self.chars = {b: c for b, c in enumerate(self._byte_chars())}
 
     @staticmethod
@@ -267,35 +271,33 @@ class Tokens:
         extra = iter(range(256, 512))
         return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
+    def _part(self, part: str) -> bytes:
+        if (got := self.parts.get(part)) is None:
+            if len(self.parts) > WORDS:
+                self.parts.clear()
+            shown = part if part.isascii() and part.isprintable() else "".join([self.chars[b] for b in part.encode()])
+            got = self.parts[part] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return got
+
     def _word(self, word: str) -> bytes:
-        if "<|" in word or ord(max(word)) > 255:
-            return np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        # within Latin-1 normalisation is lower case alone, so parts can be stored one by one
-        out = []
-        for part in self.split(word.lower()):
-            got = self.parts.get(part)
-            if got is None:
-                if len(self.parts) > WORDS:
-                    self.parts.clear()
-                shown = part if part.isascii() and part.isprintable() else "".join(self.chars[b] for b in part.encode())
-                got = self.parts[part] = np.array([t.id for t in self.tool.model.tokenize(shown)], "<u4").tobytes()
-            out.append(got)
-        return b"".join(out)
+        if word.isascii():
+            if "<|" not in word:
+                low = word.lower()
+                return self._part(low) if low.isalpha() else b"".join([self._part(p) for p in self.ascii(low)])
+        elif "<|" not in word and ord(max(word)) < 256:
+            # within Latin-1 normalisation is lower case alone, so parts can be stored one by one
+            return b"".join([self._part(p) for p in self.split(word.lower())])
+        return array("I", self.tool.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self._word(word) if word else b""
+        return got
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            known[""] = b""
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+        if len(self) > WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -303,13 +305,14 @@ PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 l
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text, row): ids of the text, then the id end, cut at length."""
+    closing = end.to_bytes(4, "little")
 
     def run(batches):
         tools = Tokens(path)
         for batch in common.slices(batches, 256):
             out: list[list] = [[] for _ in range(6)]
             for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-                data = tools.encode(text or "") + end.to_bytes(4, "little")
+                data = tools.encode(text or "") + closing
                 for k, at in enumerate(range(0, len(data), 4 * length)):
                     part = data[at : at + 4 * length]
                     for column, value in zip(out, (doc, row, k, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -43,6 +43,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def boxed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed c0, c1, ..., which no column of an operator is named, and the new name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def unboxed(df: DataFrame, names: dict[str, str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of boxed docs under their old names; ``changed`` has those with new values."""
+    return df.select(*((changed or {}).get(c, F.col(box)).alias(c) for c, box in names.items()))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches cut into pieces of few rows, so that long texts are not all Python objects at once."""
     for batch in batches:

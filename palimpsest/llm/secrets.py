@@ -13,7 +13,8 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import common
 
@@ -31,7 +32,7 @@ FURTHER = {
 HINTS = {"github": "gh", "slack": "xox", "google": "AIza", "jwt": "eyJ", "pem": "-----BEGIN"}
 KINDS = ["assign", "access", "hex", *FURTHER]
 BASE = 3
-#: A text without this, as Java's rlike finds it, has no candidate of any kind.
+#: A text without this has no candidate of any kind.
 ANY = r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{16}|gh[oprsu]_|xox[abprs]-|aiza|eyj|private key"
 
 #: A value that at least so many distinct owners hold is a widely copied example.
@@ -39,7 +40,7 @@ COPIED_OWNERS = 3
 #: Bits a character that a live value has at least.
 LIVE_ENTROPY = 2.5
 
-SCHEMA = "doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<struct<start:long,rank:int,end:long,hash:string,random:boolean>>"
+SCHEMA = "{id} long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<struct<start:long,rank:int,end:long,hash:string,random:boolean>>"
 
 
 def entropy(value: str) -> float:
@@ -70,7 +71,7 @@ def written(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[s[1]]}:{s[0]}:{s[2]}" for s in spans)
 
 
-def _scanner():
+def _scanner(name: str):
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, base, cands = ([], [], []), [], []
         for text in batch.column("text").to_pylist():
@@ -81,7 +82,7 @@ def _scanner():
             base.append(hashlib.sha256(written(own).encode()).hexdigest())
             cands.append([{"start": s, "rank": k, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "random": looks_random(v)} for s, k, e, v in found])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("hash", pa.string()), ("random", pa.bool_())]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("owner"), batch.column("repo"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(cands, kind)], names=["doc_id", "owner", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
+        return pa.RecordBatch.from_arrays([batch.column(name), batch.column("owner"), batch.column("repo"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(cands, kind)], names=[name, "owner", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
 
     return each
 
@@ -93,28 +94,39 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("seen").alias("seen"), F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): base counts and digest, all spans, and what ownership says.
-
-    owner and repo are columns of docs; by default the source owns each of its documents, and a document is a
-    repository. Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live (spans taken for
-    live: start, end). Null and empty texts have no spans; a null owner counts as one owner of that name.
-    """
+def _found(docs: DataFrame, name: str, owner: Column | None, repo: Column | None) -> DataFrame:
+    """Candidates of each row of docs (``name``, text and what owner and repo read), with ``name`` passed on."""
     owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if owner is None else owner
     repo = F.coalesce(F.col("doc_id").cast("string"), F.lit("")) if repo is None else repo
-    rows = common.scan(docs.select("doc_id", "text", owner.alias("owner"), repo.alias("repo")), _scanner, SCHEMA)
-    rows = common.stash(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
+    return common.scan(docs.select(name, "text", owner.alias("owner"), repo.alias("repo")), lambda: _scanner(name), SCHEMA.format(id=name))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """(row, all, live, n_live, n_copied) of rows (row, owner, repo, cands) with candidates: what ownership says of each."""
     each = rows.where(F.size("cands") > 0).select("row", "owner", "repo", F.inline("cands"))
     held = common.stash(ownership(each), "secret-owners")
-    judged = common.attach(each.select("row", "start", "rank", "end", "random", "hash"), held, "hash", "seen")
-    judged = judged.select("row", "start", "rank", "end", (F.col("random") & (F.col("owners") < COPIED_OWNERS)).alias("is_live"), (F.col("owners") >= COPIED_OWNERS).alias("is_copied"))
+    met = common.attach(each.select("row", "start", "rank", "end", "random", "hash"), held, "hash", "seen")
+    met = met.select("row", "start", "rank", "end", (F.col("random") & (F.col("owners") < COPIED_OWNERS)).alias("is_live"), (F.col("owners") >= COPIED_OWNERS).alias("is_copied"))
     span = F.struct("start", "rank", "end")
-    per_row = judged.groupBy("row").agg(
+    return met.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when((F.col("rank") < BASE) | F.col("is_live"), span))).alias("all"),
         F.array_sort(F.collect_list(F.when(F.col("is_live"), F.struct("start", "end")))).alias("live"),
         F.sum(F.col("is_live").cast("long")).alias("n_live"),
         F.sum(F.col("is_copied").cast("long")).alias("n_copied"),
     )
+
+
+def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text, source): base counts and digest, all spans, and what ownership says.
+
+    owner and repo are columns of docs; by default the source owns each of its documents, and a document is a
+    repository. Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live (spans taken for
+    live: start, end). Null and empty texts have no spans; a null owner counts as one owner of that name, a null id as
+    one repository. Rows are judged one by one, so repeated rows and rows of one id don't mix; an empty table gives an
+    empty result.
+    """
+    rows = common.stash(_found(docs, "doc_id", owner, repo).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    per_row = judged(rows)
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_join(F.transform("all", lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["start"], x["end"])), ",")
     nothing = F.expr("array()").cast("array<struct<start:long,end:long>>")
@@ -134,25 +146,32 @@ def redacted(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") ->
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with live-looking secrets replaced by a mark and n_chars counted anew; no document goes.
+@F.arrow_udf(returnType=T.BooleanType())
+def may_hold(texts: pa.Array) -> pa.Array:
+    """Whether a text may hold a candidate; never null."""
+    return pc.fill_null(pc.match_substring_regex(texts, ANY), False)
+
+
+@F.arrow_udf(returnType=T.StringType())
+def cut(texts: pa.Array, lives: pa.Array) -> pa.Array:
+    return pa.array([t if not live else redacted(t, [(x["start"], x["end"]) for x in live]) for t, live in zip(texts.to_pylist(), lives.to_pylist())], pa.string())
+
+
+def redact(docs: DataFrame, owner: Column | None = None, repo: Column | None = None) -> DataFrame:
+    """docs with live-looking secrets replaced by a mark and n_chars, where there is one, counted anew; no document goes.
 
-    Only texts that may hold a candidate are joined with their verdicts; rows are told apart by id and text digest.
+    Only rows that may hold a candidate are written, each under a number of its own, and meet their verdicts by that
+    number, so rows that share an id (or have none) and repeated rows are cut each by its own spans. Null and empty
+    texts stay as they are; an empty table gives an empty result. The columns are those of docs, whatever their names.
     """
-    may = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    some = docs.where(may)
-    found = scan(some).where("n_live > 0").groupBy("doc_id", "base_sha256").agg(F.first("live").alias("_live"))
-
-    @F.arrow_udf("string")
-    def base_digest(texts: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(written([x for x in candidates(t.as_py() or "") if x[1] < BASE]).encode()).hexdigest() for t in texts])
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, lives: pa.Array) -> pa.Array:
-        return pa.array([t if not live else redacted(t, [(x["start"], x["end"]) for x in live]) for t, live in zip(texts.to_pylist(), lives.to_pylist())], pa.string())
-
-    keyed = some.withColumn("_base", base_digest("text"))
-    met = keyed.join(found.select(F.col("doc_id").alias("_id"), F.col("base_sha256").alias("_of"), "_live"), (F.col("doc_id") == F.col("_id")) & (F.col("_base") == F.col("_of")), "left")
-    met = met.withColumn("_text", cut("text", "_live")).withColumn("_n", F.char_length("_text").cast("long"))
-    changed = met.select(*(F.col({"text": "_text", "n_chars": "_n"}.get(c, c)).alias(c) for c in docs.columns))
-    return docs.where(~may).unionByName(changed)
+    kept, names = common.boxed(docs)
+    text = F.col(names["text"])
+    some = common.stash(kept.where(may_hold(text)).withColumn("row", F.monotonically_increasing_id()), "secret-rows")
+    named = some.select("row", *(F.col(box).alias(c) for c, box in names.items() if c != "row"))
+    rows = common.stash(_found(named, "row", owner, repo).select("row", "owner", "repo", "cands"), "secrets")
+    live = judged(rows).where("n_live > 0").select("row", "live")
+    met = some.join(live, "row", "left").withColumn("now", cut(text, "live"))
+    new = {"text": F.col("now")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("live").isNotNull(), F.char_length("now").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"]))
+    return common.unboxed(kept.where(~may_hold(text)), names).union(common.unboxed(met, names, new))

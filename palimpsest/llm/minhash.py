@@ -122,45 +122,47 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def _sets():
-    known: dict[str, int] = {}
-
-    def each(batch):
-        own = [shingles(t or "", known) for t in batch.column("text").to_pylist()]
-        marks = [hashlib.sha256(s.tobytes()).digest() if len(s) else None for s in own]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array([len(s) for s in own], pa.int64())], names=["doc_id", "digest", "size"])
+def _hashed():
+    """Column function of a text: the digest of its shingles (null without words), their number, and its keys."""
+
+    @F.arrow_udf("struct<digest:binary,size:long,keys:array<long>>")
+    def each(texts: pa.Array) -> pa.Array:
+        marks, sizes, keys = [], [], []
+        for at in range(0, len(texts), 1024):
+            for text in texts.slice(at, 1024).to_pylist():
+                own = shingles(text or "", _KNOWN)
+                marks.append(hashlib.sha256(own.tobytes()).digest() if len(own) else None)
+                sizes.append(len(own))
+                keys.append(band_keys(own) if len(own) else np.zeros(0, np.int64))
+        offsets = pa.array(np.append(0, np.cumsum([len(k) for k in keys])), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+        return pa.StructArray.from_arrays([pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), lists], ["digest", "size", "keys"])
 
     return each
 
 
-def _bands():
+_KNOWN: dict[str, int] = {}
+
+
+def _bands(batches):
     """Rows (key, id, null) for the smallest id that a slice has for a key, and links (null, id, smallest id) for its others."""
-    known: dict[str, int] = {}
-
-    def each(batch):
-        keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            own = shingles(text or "", known)
-            if doc is not None and len(own):
-                keys.append(band_keys(own))
-                ids.append(np.full(len(keys[-1]), doc, np.int64))
-        key, doc = np.concatenate(keys), np.concatenate(ids)
+    for batch in common.slices(batches, 1024):
+        keys = batch.column("keys")
+        key = np.asarray(keys.flatten())
+        doc = np.repeat(batch.column("id").to_numpy(), np.diff(keys.offsets.to_numpy()))
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         first = np.append(True, key[1:] != key[:-1])[: len(key)]
         head = doc[first][np.cumsum(first) - 1] if len(key) else doc
         links = np.unique(np.stack([doc[~first], head[~first]], 1), axis=0)
-        links = links[links[:, 0] != links[:, 1]]
         n = int(first.sum())
         nulls = np.zeros(n + len(links), bool)
         nulls[n:] = True
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(key[first], np.zeros(len(links), np.int64)), mask=nulls), pa.array(np.append(doc[first], links[:, 0])), pa.array(np.append(np.zeros(n, np.int64), links[:, 1]), mask=~nulls)],
             names=["key", "id", "head"],
         )
 
-    return each
-
 
 def _heads(batches):
     """Links of each id to the smallest of its key, from rows sorted by key and id; links pass."""
@@ -260,41 +262,58 @@ def by_size(members: DataFrame, containment: float) -> DataFrame:
     return common.attach(each, total, "key", "n").where("n > 1 AND NOT _empty").select("id", "mult", "key", "shingles", "guest")
 
 
-def near_groups(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, group_id, n_links, kept of every row of docs (doc_id, text).
+def _near(docs: DataFrame, containment: float) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Written rows of docs under boxed names, each with a number (row), the verdict (row, group_id, n_links, kept) of each number, and the names.
 
-    Two documents are linked where each holds at least the share ``containment`` of the other's shingles, so a document
-    within a much longer one isn't linked to it; group_id is the smallest doc_id that links lead to, n_links the number
-    of documents linked directly, and the row of that id is kept. Texts without words (null and empty ones too) link with nothing. A null id links with nothing, has no group
-    and is kept; rows that repeat id and text count one by one.
+    Everything goes by these numbers: ids may be null or shared by rows of different texts.
     """
-    sets = common.stash(common.scan(docs.select("doc_id", "text"), _sets, "doc_id long, digest binary, size long"), "sets")
-    banded = common.scan(docs.select("doc_id", "text"), _bands, "key long, id long, head long")
+    boxes, names = common.boxed(docs)
+    text, doc_id = F.col(names["text"]), F.col(names["doc_id"])
+    held = common.stash(boxes.withColumn("own", _hashed()(text)).withColumn("row", F.monotonically_increasing_id()), "near-sets")
+    sets = held.select("row", doc_id.alias("doc_id"), "own.digest", "own.size")
+    banded = held.where(doc_id.isNotNull() & F.col("own.digest").isNotNull()).select(F.col("row").alias("id"), "own.keys").mapInArrow(_bands, "key long, id long, head long")
     spread = banded.repartition(F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key", "id")
     roots = common.stash(graph.components(spread.mapInArrow(_heads, "a long, b long")), "near-roots")
     # equal sets share all keys and so a candidate group; one row of each goes on
     valid = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = valid.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("mult"), F.first("size").alias("size"))
+    classes = valid.groupBy("digest").agg(F.min("row").alias("id"), F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("mult"), F.min("size").alias("size"))
     classes = common.stash(classes, "near-classes")
-    members = classes.join(roots, "id").withColumnRenamed("root", "key")
+    members = classes.select("id", "mult", "size").join(roots, "id").withColumnRenamed("root", "key")
     total = members.groupBy("key").agg(F.sum("size").alias("shingles"), F.count("*").alias("n")).where("n > 1")
     members = common.stash(by_size(common.attach(members, total, "key", "n").where("n > 1"), containment), "near-members")
     # members grow with the corpus, so they are never broadcast, whatever their size is taken to be
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.hint("merge"), "id").dropDuplicates(["id", "key"])
+    texts = held.select(F.col("row").alias("id"), text.alias("text")).join(members.hint("merge"), "id")
     blocks = graph.block_pairs(texts, "key", "shingles", BLOCK)
     checked = graph.meet(blocks.select("key", "i", "j", "mine", "id", "mult", "guest", "text"), "key").mapInArrow(_checked(containment), "id long, links long, other long")
     checked = common.stash(checked, "near-links")
     degrees = checked.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
     roots = common.stash(graph.components(checked.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "near-groups")
-    known = classes.join(degrees, "id", "left").join(roots, "id", "left")
-    known = common.stash(known.select("digest", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), "near-known")
-    own = sets.select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = common.attach(own, known, "digest", "mult")
-    group = F.coalesce("root", "doc_id")
-    return out.select("doc_id", group.alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+    grouped = common.stash(classes.join(degrees, "id", "left").join(roots, "id", "left").select("digest", "mult", "best", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root")), "near-grouped")
+    heads = grouped.groupBy("root").agg(F.min("best").alias("head"), F.count("*").alias("n"))
+    known = common.attach(grouped, heads, "root", "n").select("digest", "mult", (F.col("links") + F.col("mult") - 1).alias("n_links"), "head")
+    own = sets.select("row", "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = common.attach(own, common.stash(known, "near-known"), "digest", "mult")
+    kept = F.coalesce(F.col("row") == F.col("head.row"), F.lit(True))
+    verdict = out.select("row", "doc_id", F.coalesce("head.doc_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"))
+    return held, verdict, names
+
+
+def near_groups(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, group_id, n_links, kept of every row of docs (doc_id, text).
+
+    Two documents are linked where each holds at least the share ``containment`` of the other's shingles, so a document
+    within a much longer one isn't linked to it; group_id is the smallest doc_id that links lead to, n_links the number
+    of rows linked directly, and one row of that id is kept. Texts without words (null and empty ones too) link with
+    nothing. A null id links with nothing, has no group and is kept; rows that repeat id and text count one by one, of
+    which one is kept, and rows that share an id alone are different documents. An empty table gives an empty result.
+    """
+    return _near(docs.select("doc_id", "text"), containment)[1].drop("row")
 
 
 def drop_near(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one of the smallest id; columns are those of docs."""
-    gone = near_groups(docs, containment).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of near-duplicates, by the rules of near_groups; columns, whatever their names, are those of docs.
+
+    Texts without words and rows with a null id all stay, and so does a row that only shares its id with one that goes.
+    """
+    held, verdict, names = _near(docs, containment)
+    return common.unboxed(held.join(verdict.where("NOT kept").select("row"), "row", "left_anti"), names)

@@ -1,9 +1,9 @@
 """Exact dedup by a cuckoo-filter index of live digests.
 
-The digest space is cut into buckets. A bucket has a cuckoo filter over the digests that live in it and, beside it, its
-content: the stored digests. A digest that misses the filter is new for certain and is inserted; a hit is verified
-against the stored digests. Deleting a digest takes its fingerprint out of the filter; a filter that overflows is built
-anew, twice as large, from the stored digests.
+The digest space is cut into parts. A part has a cuckoo filter over the digests that live in it and, beside it, buckets
+with their content: the digests in full and the rows they stand for. A digest that misses the filter is new for certain
+and is inserted; a hit is verified against the content of its bucket. Deleting a digest takes its fingerprint out of the
+filter and its content out of the bucket; a filter that overflows is built anew, twice as large, from the stored digests.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from array import array
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
@@ -38,7 +38,9 @@ class CuckooFilter:
         return (at ^ (mark * 0x5BD1E995)) & self.mask
 
     def contains(self, digest: bytes) -> bool:
-        mark, one, two = self.places(digest)
+        return self.holds(*self.places(digest))
+
+    def holds(self, mark: int, one: int, two: int) -> bool:
         t, s = self.table, self.SLOTS
         return mark in t[one * s : one * s + s] or mark in t[two * s : two * s + s]
 
@@ -77,39 +79,59 @@ class CuckooFilter:
 
 
 class CuckooIndex:
-    """Live digests of one bucket: a filter and the stored content (digest -> value) that hits are verified against."""
+    """Live digests of one part of the digest space: a filter, and buckets with the content that hits are verified against.
+
+    A digest's content (itself and its value) lies in the bucket that the filter tries first for it. Only a hit of the
+    filter reads a bucket, and only a digest found there in full counts.
+    """
 
     def __init__(self, buckets: int = 64):
-        self.filter, self.stored, self.resizes, self.false_hits = CuckooFilter(buckets), {}, 0, 0
+        self.filter, self.content = CuckooFilter(buckets), [[] for _ in range(buckets)]
+        self.resizes = self.false_hits = 0
+
+    def __len__(self) -> int:
+        return self.filter.used
+
+    def items(self):
+        return (entry for bucket in self.content for entry in bucket)
 
     def find(self, digest: bytes):
-        """The stored value, or None. Only a hit of the filter looks at the stored content."""
-        if not self.filter.contains(digest):
+        """The value of a live digest, or None."""
+        mark, one, two = self.filter.places(digest)
+        if not self.filter.holds(mark, one, two):
             return None
-        value = self.stored.get(digest)
-        self.false_hits += value is None
-        return value
+        for own, value in self.content[one]:
+            if own == digest:
+                return value
+        self.false_hits += 1
+        return None
 
     def insert(self, digest: bytes, value) -> None:
         """Store a digest that isn't live yet."""
-        self.stored[digest] = value
+        self.content[self.filter.places(digest)[1]].append((digest, value))
         if not self.filter.insert(digest):
             self._resize()
 
     def delete(self, digest: bytes) -> bool:
+        """Take a digest out; False if it isn't live, whatever the filter says."""
         if self.find(digest) is None:
             return False
-        del self.stored[digest]
+        bucket = self.content[self.filter.places(digest)[1]]
+        del bucket[next(i for i, (own, _) in enumerate(bucket) if own == digest)]
         return self.filter.delete(digest)
 
     def _resize(self) -> None:
-        buckets = self.filter.mask + 1
+        """A filter and buckets twice as large or larger, from the stored keys."""
+        held, buckets = list(self.items()), self.filter.mask + 1
         while True:
             buckets *= 2
             self.resizes += 1
             self.filter = CuckooFilter(buckets)
-            if all(map(self.filter.insert, self.stored)):
-                return
+            if all(self.filter.insert(digest) for digest, _ in held):
+                break
+        self.content = [[] for _ in range(buckets)]
+        for digest, value in held:
+            self.content[self.filter.places(digest)[1]].append((digest, value))
 
 
 def better(a: tuple, b: tuple) -> tuple:
@@ -120,9 +142,16 @@ def better(a: tuple, b: tuple) -> tuple:
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n, digest): code points of the text and SHA-256 of the text without white space; null counts as empty."""
     text = common.text_or_empty()
-    return docs.select("doc_id", F.char_length(text).cast("long").alias("n"), F.unhex(F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", F.char_length(text).cast("long").alias("n"), digest(text).alias("digest"))
+
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a text without white space. It stands for the text: equal ones of different texts aren't to be expected, nor known."""
+    return F.unhex(F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256))
 
+
+#: Parts of the digest space that each shuffle partition is indexed by, one after the other.
+PARTS = 256
 PARTIAL = "digest binary, keep_n long, keep_id long, group_size long"
 
 
@@ -149,22 +178,41 @@ def _rows(held: dict) -> pa.RecordBatch:
 
 
 def _index(batches):
-    """Pass one bucket's partial rows through its index."""
-    index = CuckooIndex()
+    """Pass partial rows, sorted by part, through an index for each part.
+
+    Of two rows of one digest the better one is live: where a later one is, the former is deleted and it is inserted.
+    """
+    index, part, held = CuckooIndex(), None, []
+
+    def out():
+        for at in range(0, len(held), 10_000):
+            yield _rows(dict(held[at : at + 10_000]))
+
     for batch in batches:
-        for digest, n, doc, size in zip(*(c.to_pylist() for c in batch.columns)):
-            if (x := index.find(digest)) is None:
-                index.insert(digest, [(n, doc), size])
+        for now, digest, n, doc, size in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != part:
+                held += [(d, [row, count]) for d, (row, count) in index.items()]
+                index, part = CuckooIndex(), now
+                if len(held) >= 10_000:
+                    yield from out()
+                    held = []
+            x = index.find(digest)
+            if x is None:
+                index.insert(digest, ((n, doc), size))
             else:
-                x[0], x[1] = better(x[0], (n, doc)), x[1] + size
-    held = list(index.stored.items())
-    for at in range(0, len(held), 10_000):
-        yield _rows(dict(held[at : at + 10_000]))
+                index.delete(digest)
+                index.insert(digest, (better(x[0], (n, doc)), x[1] + size))
+    held += [(d, [row, count]) for d, (row, count) in index.items()]
+    yield from out()
 
 
 def classes(keys: DataFrame) -> DataFrame:
-    """One row per distinct digest: the row that stays (keep_n, keep_id) and group_size."""
-    return keys.select("doc_id", "n", "digest").mapInArrow(_combine, PARTIAL).repartition("digest").mapInArrow(_index, PARTIAL)
+    """One row per distinct digest: the row that stays (keep_n, keep_id) and group_size.
+
+    A shuffle partition is worked through in PARTS parts of the digest space, so that an index holds one of them only.
+    """
+    partial = keys.select("doc_id", "n", "digest").mapInArrow(_combine, PARTIAL).withColumn("part", F.expr(f"int(pmod(xxhash64(digest, 1), {PARTS}))"))
+    return partial.select("part", *partial.columns[:-1]).repartition("digest").sortWithinPartitions("part").mapInArrow(_index, PARTIAL)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -181,14 +229,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies; of rows that repeat id and text one stays. Columns are those of docs."""
+    """docs without the copies, by the rule of exact_groups; of rows that repeat id and text one stays.
+
+    Null texts count as empty and are one class with empty and blank ones, of which one row stays; a null id stays only
+    where no other id has that length. An empty table gives an empty result. Columns are those of docs, whatever their
+    names.
+    """
     keys = common.stash(digests(docs), "exact-keys")
     found = common.stash(classes(keys), "exact-classes")
     no_id = F.lit(-(1 << 63))
-    stay = found.select(F.col("digest").alias("_own"), F.coalesce("keep_id", no_id).alias("_id"))
-    text = common.text_or_empty()
-    marked = docs.withColumns({"_own": F.unhex(F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)), "_id": F.coalesce("doc_id", no_id), "_n": F.char_length(text)})
+    stay = found.select("digest", F.coalesce("keep_id", no_id).alias("id"))
+    boxes, names = common.boxed(docs)
+    text = F.coalesce(F.col(names["text"]), F.lit(""))
+    marked = boxes.withColumns({"digest": digest(text), "id": F.coalesce(F.col(names["doc_id"]), no_id), "n": F.char_length(text)})
     # by digest and id, so that a hot digest is spread; beyond repeated rows each class meets one row
-    repeated = Window.partitionBy("_own", "_id").orderBy(F.desc("_n"))
-    met = marked.join(stay, ["_own", "_id"])
-    return met.withColumn("_nth", F.row_number().over(repeated)).where("_nth = 1").select(*docs.columns)
+    repeated = Window.partitionBy("digest", "id").orderBy(F.desc("n"))
+    met = marked.join(stay, ["digest", "id"])
+    return common.unboxed(met.withColumn("nth", F.row_number().over(repeated)).where("nth = 1"), names)

@@ -14,35 +14,38 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
 #: n-grams of 1 to 3 characters are hashed into so many places.
 PLACES = 1 << 16
-#: At most so many texts are learned from; which ones depends on a hash of their ids.
-TRAINING_ROWS = 3000
+#: At most so many texts of each language are learned from; which ones depends on a hash of their ids.
+TRAINING_ROWS = 750
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.05
 #: Feature values are shares of a text's n-grams, times this.
 SCALE = 40.0
 
 
 @cache
-def letters() -> np.ndarray:
-    """Whether each code point is a letter or a mark that belongs to one."""
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, and whether it is one or a mark, which may belong to one."""
+    kinds = np.array([unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)])
+    return kinds == "L", (kinds == "L") | (kinds == "M")
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of all n-grams, the number of the text that each belongs to, and each text's number of letters.
 
-    Texts are in lower case; each run of characters other than letters counts as one space. A lone space isn't a gram.
+    Texts are in lower case; each run of characters other than letters and their marks counts as one space. A lone space
+    isn't a gram.
     """
     code = np.frombuffer("\n".join([*(t.lower() for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t.lower()) + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-    is_letter = letters()[np.minimum(code, sys.maxunicode)]
-    n_letters = np.bincount(owner[is_letter], minlength=len(texts))
+    pure, either = letters()
+    is_letter = either[code]
+    n_letters = np.bincount(owner[pure[code]], minlength=len(texts))
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first of a run of others stays, as a space
     code, owner = np.where(is_letter, code, 32)[keep].astype(np.uint32), owner[keep]
@@ -90,14 +93,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Model:
-    """Model of (places, shares) rows and their languages; every fifth row is put aside for the temperature."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], names: list[str], df: np.ndarray | None = None, texts: int = 0) -> Model:
+    """Model of (places, shares) rows and their languages; every fifth row is put aside for the temperature.
+
+    df has in how many of so many texts each place occurs; without it the rows themselves are counted.
+    """
     languages = sorted(set(names))
     if not languages:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
     y = np.array([languages.index(x) for x in names])
-    df = np.bincount(np.concatenate([r[0] for r in rows]), minlength=PLACES)
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if df is None:
+        df, texts = np.bincount(np.concatenate([r[0] for r in rows]), minlength=PLACES), len(rows)
+    idf = np.log((1 + texts) / (1 + df)) + 1
     aside = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
     learn, k = np.flatnonzero(~aside), len(languages)
     z, n = np.zeros((PLACES + 1, k)), np.zeros((PLACES + 1, k))
@@ -134,11 +141,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of all texts each place occurs, and the number of texts. Each task sends at most PLACES counts."""
+
+    def run(batches):
+        df = np.zeros(PLACES + 1, np.int64)
+        for batch in common.slices(batches, 256):
+            place, owner, _ = grams(batch.column("text").to_pylist())
+            df += np.bincount(np.unique(owner * PLACES + place) % PLACES, minlength=PLACES + 1)
+            df[PLACES] += batch.num_rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["place", "n"])
+
+    df = np.zeros(PLACES + 1, np.int64)
+    for r in known.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        df[r["place"]] = r["n"]
+    return df[:PLACES], int(df[PLACES])
+
+
 def train(docs: DataFrame) -> Model:
-    """Model from rows with a language that aren't held out: at most TRAINING_ROWS, smallest hashes of ids first, whole texts."""
+    """Model from rows with a language that aren't held out.
+
+    Document frequencies are those of all such rows; weights are learned from at most TRAINING_ROWS rows of each
+    language, smallest hashes of ids first, whole texts.
+    """
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    picked = known.join(F.broadcast(ids), "doc_id")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang").distinct().withColumn("nth", nth).where(F.col("nth") <= TRAINING_ROWS).select("doc_id", "lang")
+    picked = known.join(F.broadcast(ids), ["doc_id", "lang"])  # TRAINING_ROWS ids a language
+    df, texts = frequencies(known)
 
     def make():
         def each(batch):
@@ -157,14 +188,15 @@ def train(docs: DataFrame) -> Model:
     rows = [(np.asarray(cols[0][i].values), np.asarray(cols[1][i].values, dtype=np.float64)) for i in range(got.num_rows)]
     ids, names = got.column("doc_id").to_pylist(), got.column("lang").to_pylist()
     order = sorted((i for i in range(got.num_rows) if len(rows[i][0])), key=lambda i: (ids[i] * 2654435761 % (1 << 32), ids[i], names[i], rows[i][0].tobytes()))
-    return fit([rows[i] for i in order], [names[i] for i in order])
+    return fit([rows[i] for i in order], [names[i] for i in order], df, texts)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang).
 
-    lang is read only to learn from rows that aren't held out. Null and letterless texts give ``und`` with score 0; a
-    table without languages gives ``und`` throughout.
+    lang is read only to learn from rows that aren't held out. Null, empty and letterless texts give ``und`` with score
+    0; a table without languages gives ``und`` throughout, an empty one an empty result. Repeated rows repeat their
+    results, null ids aren't learned from, and a tie goes to the first language by name.
     """
     model = train(docs)
 

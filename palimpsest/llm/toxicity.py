@@ -19,8 +19,9 @@ from . import common
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms are hashed into so many places.
 PLACES = 1 << 20
-#: At most so many labelled texts are learned from; which ones depends on a hash of their ids.
-TRAINING_ROWS = 12_000
+#: At most so many labelled texts are learned from, and of each label at least TOXIC_ROWS where there are so many; which
+#: ones depends on a hash of their ids.
+TRAINING_ROWS, TOXIC_ROWS = 12_000, 4000
 #: Terms of at least so many training texts have a weight and a vector.
 LEAST_TEXTS = 3
 RANK, EPOCHS, RATE, DECAY = 4, 300, 0.05, 1e-3
@@ -126,10 +127,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Machine from labelled rows that aren't held out: at most TRAINING_ROWS ids, smallest hashes first, whole texts."""
-    ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    ids = ids.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """Machine from labelled rows that aren't held out: at most TRAINING_ROWS ids, smallest hashes first, whole texts.
+
+    A rare label has a share of at least TOXIC_ROWS ids; the bias is then set back to the odds of all labelled ids.
+    """
+    ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("_toxic"))
+    ids = ids.where(~held_out(F.col("doc_id")))
+    all_ = {r["_toxic"]: r["n"] for r in ids.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    rare = min(all_.get(True, 0), all_.get(False, 0))
+    few = min(rare, max(TOXIC_ROWS, TRAINING_ROWS * rare // max(1, sum(all_.values()))))
+    take = {k: few if n == rare else min(n, TRAINING_ROWS - few) for k, n in all_.items()}
+    by_hash = lambda k: ids.where(F.col("_toxic") == F.lit(k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(take.get(k, 0))
+    picked = docs.select("doc_id", "text").join(F.broadcast(by_hash(True).union(by_hash(False))), "doc_id")  # TRAINING_ROWS ids
 
     def make():
         known: dict[str, int] = {}
@@ -144,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     features = [np.array(x, dtype=np.int64) for x in rows.column("places").to_pylist()]
     order = sorted(range(len(features)), key=lambda i: (rows.column("doc_id")[i].as_py(), features[i].tobytes()))
     marks = np.array(rows.column("_toxic").to_pylist(), dtype=np.int64)[order] if order else np.zeros(0, np.int64)
-    return fit([features[i] for i in order], (marks > 0).astype(np.int64))
+    machine = fit([features[i] for i in order], (marks > 0).astype(np.int64))
+    if rare:
+        machine.bias += float(np.log(all_[True] / all_[False]) - np.log(take[True] / take[False]))
+    return machine
 
 
 def scorer(machine: Machine):
@@ -162,13 +174,22 @@ _KNOWN: dict[str, int] = {}
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs (doc_id, text); labels has doc_id and toxic (0 or 1)."""
+    """doc_id, held_out, score, predicted of every row of docs (doc_id, text); labels has doc_id and toxic (0 or 1).
+
+    Null texts count as empty and score what a text without known terms does; rows are scored one by one, so repeated
+    ones repeat their scores. An id with several labels counts as toxic if one of them says so; rows with a null id or
+    label aren't learned from, and with no labels at all every score is the share of label 1, or near 0. An empty table
+    gives an empty result.
+    """
     mark = scorer(train(docs, labels))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), mark("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score THRESHOLD or more; columns and all other rows stay."""
+    """docs without the rows that score THRESHOLD or more; columns, whatever their names, and all other rows stay.
+
+    Nulls, empty texts, repeated rows and empty tables are as in score.
+    """
     mark = scorer(train(docs, labels))
-    return docs.withColumn("_toxicity", mark("text")).where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return docs.where(mark("text") < THRESHOLD)

@@ -73,10 +73,20 @@ def test_cuckoo_index_inserts_deletes_and_grows():
             index.insert(digest, step)
             live[digest] = step
         assert index.find(digest) == live.get(digest)
-    assert index.resizes > 3 and index.filter.used == len(live) == len(index.stored)
+    assert index.resizes > 3 and len(index) == len(live) and dict(index.items()) == live
     assert not index.delete(b"\0" * 32)
 
 
+def test_cuckoo_index_tells_digests_of_one_fingerprint_apart():
+    """A hit of the filter isn't enough: the content of the bucket decides, on finding and on deletion."""
+    index = exact_dedup.CuckooIndex(4)
+    one, two = b"ab" + b"\0" * 30, b"ab" + b"\0" * 29 + b"z"
+    index.insert(one, 1)
+    assert index.filter.contains(two) and index.find(two) is None and index.false_hits == 1 and not index.delete(two)
+    index.insert(two, 2)
+    assert (index.find(one), index.find(two)) == (1, 2) and index.delete(one) and index.find(one) is None and index.find(two) == 2
+
+
 def test_near_documents(spark):
     rows = [(i, t) for i, t in mixed() if i is None or i < 14] + [(20, " ".join(prose(1, 120).split()[:110])), (21, prose(7, 30))]
     got = {(r["doc_id"]): (r["group_id"], r["n_links"]) for r in minhash.near_groups(docs(spark, rows)).collect()}
@@ -95,6 +105,19 @@ def test_near_documents(spark):
     assert minhash.near_groups(empty(spark)).count() == 0
 
 
+def test_near_documents_that_share_an_id(spark):
+    """Rows of one id with different texts are different documents; what resembles nothing stays."""
+    a, b = prose(61, 120), prose(62, 120)
+    rows = [(1, a), (5, a + " more words"), (5, b), (None, a), (7, b + " end"), (7, b + " end")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in minhash.drop_near(docs(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(1, a), (5, b), (None, a)], key=repr)
+    got = sorted(((r["doc_id"], r["group_id"], r["n_links"], r["kept"]) for r in minhash.near_groups(docs(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (5, 1, 1, False), (5, 5, 2, True), (None, None, 0, True), (7, 5, 2, False), (7, 5, 2, False)], key=repr)
+    clash = docs(spark, rows).withColumns({c: F.lit(1) for c in ("row", "own", "kept", "group_id", "c0", "c1", "_own", "_id", "_n", "n", "nth", "live", "now", "_toxicity")})
+    for drop in (minhash.drop_near, exact_dedup.drop_copies, secrets.redact):
+        assert drop(clash).columns == clash.columns and drop(clash).count() <= len(rows)
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     """A candidate group far larger than a block gives the same links as one in a single block."""
     monkeypatch.setattr(minhash, "BLOCK", 700)
@@ -362,6 +385,29 @@ def test_secret_scan(spark):
     assert secrets.scan(empty(spark)).count() == 0 == secrets.redact(empty(spark)).count()
 
 
+def test_redaction_goes_row_by_row(spark):
+    """Rows without an id, and rows that share one, are cut by their own spans."""
+    token = "ghp_" + "aB3dE5gH7jK9" * 3
+    rows = [(None, f"x {token}"), (1, f"{token} y"), (1, f"a longer text before {token}"), (2, "ghp_ only"), (2, None), (3, f"x {token}"), (3, f"x {token}")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in secrets.redact(docs(spark, rows)).collect())
+    assert got == collections.Counter((i, t and t.replace(token, "[SECRET]")) for i, t in rows)
+
+
+def test_ownership_counts(spark):
+    rng = random.Random(5)
+    values = [hashlib.sha256(str(k).encode()).hexdigest()[:24] for k in range(6)]
+    rows = [(k, " ".join(f"token={rng.choice(values)}" for _ in range(rng.randrange(3))), "en", rng.choice([None, "a", "b", "c", "d"])) for k in range(12)]
+    owners = collections.defaultdict(set)
+    for i, t, _, s in rows:
+        for v in re.findall("[0-9a-f]{24}", t):
+            owners[v].add(s or "")
+    for r in secrets.scan(docs(spark, rows)).collect():
+        found = re.findall("[0-9a-f]{24}", rows[r["doc_id"]][1])
+        assert r["n_copied"] == 2 * sum(len(owners[v]) >= secrets.COPIED_OWNERS for v in found) and r["n_live"] == 2 * sum(len(owners[v]) < secrets.COPIED_OWNERS for v in found)
+    seen = spark.createDataFrame([("h", "a", str(k % 3)) for k in range(10)] + [("h", "b", "0"), ("i", "a", "0")], "hash string, owner string, repo string")
+    assert sorted(map(tuple, secrets.ownership(seen).collect())) == [("h", 11, 4, 2), ("i", 1, 1, 1)]
+
+
 def test_language_id(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(900_001, None, "en"), (900_002, "", "en"), (900_003, "123 !?", "en"), (None, "the of and", None)], "doc_id long, text string, lang string")
@@ -371,6 +417,8 @@ def test_language_id(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held) and held
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == r["held_out"] and 0 <= r["score"] <= 1 for r in got)
     assert {r["lang_pred"] for r in got if r["doc_id"] > 900_000} == {"und"}
+    marks = language.identify(rows.union(spark.createDataFrame([(900_009, "\u0301 \u0302", None)], rows.schema))).where("doc_id = 900009").first()
+    assert marks["lang_pred"] == "und" and marks["score"] == 0
     assert {r["lang_pred"] for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(rows.where("false")).count() == 0
 
@@ -388,10 +436,57 @@ def test_html_text(spark):
     assert got[1]["text"] == "Head & line First bold text with a link in it. Short. Café — end <tag>"
     assert got[2]["text"] == "" == got[3]["text"] and got[4]["n_chars"] == 16 * 20_000 - 1 and got[None]["text"] == "cut off &"
     assert html_text.extract(pages).count() == 6 and html_text.extract(pages.where("false")).count() == 0
-    tree = html_text.grow(html_text.labelled())
+    tree = html_text.tree()
     assert all(html_text.decide(tree, x) == y for x, y in html_text.labelled())
 
 
+def text_of(page):
+    return html_text.main_text(page, html_text.tree())[0]
+
+
+LONG = " ".join(f"word{i}" for i in range(45)) + "."
+
+
+def test_topics_and_link_lists_within_an_article_stay():
+    inner = f"""<h1>Title</h1><p>{LONG}</p><section id="hidden-costs"><p>Costs here.</p></section><section id="comments-on-the-law"><p>On law.</p></section>
+    <div class="related-work"><h2>Related</h2><p>{LONG}</p></div><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul><div class="ad-slot">Buy now</div><div class="share buttons">Share it</div><p>End.</p>"""
+    got = text_of(f"<body><nav><a>Home</a></nav><article>{inner}</article><footer>x</footer>")
+    assert got == f"Title {LONG} Costs here. On law. Related {LONG} First source Second source End."
+
+
+def test_pages_without_an_article_element_are_told_by_their_blocks():
+    page = f"""<body><div id=top><a href=/>Home</a> <a href=/b>News</a></div><div class=menu><ul><li><a>One</a></li><li><a>Two</a></li></ul></div>
+    <div id=story><h1>A head line</h1><p>{LONG}</p><p>Short one.</p><p>{LONG} <a>link</a></p><p>Last.</p></div>
+    <div id=other><a>More</a> <a>Less</a></div><div>Contact us</div><footer>Imprint</footer></body>"""
+    assert text_of(page) == f"A head line {LONG} Short one. {LONG} link Last."
+
+
+def test_words_and_links_of_neighbours_decide():
+    """With the neighbours' features taken away, blocks change sides, within a main container and without one."""
+    tree, pages = html_text.tree(), [f"<div>{'w ' * 25}</div><div>{LONG}</div><div>{LONG}</div>", f"<div>{'w ' * 25}</div><p><a>x</a></p>", f"<main>{LONG}<div class=notice>{LONG * 2}</div>{LONG}</main>", f"<main>{LONG * 2}<div class=notice>{LONG * 2}</div>{LONG * 2}</main>"]
+    changed = 0
+    for page in pages:
+        for x in html_text.described(html_text.blocks(page)):
+            changed += html_text.decide(tree, x) != html_text.decide(tree, (*x[:2], 0, 0, 0, 0, *x[6:]))
+    assert changed and {2, 3, 4, 5} & features_of(tree)
+
+
+def features_of(tree):
+    return {tree[0]} | features_of(tree[2]) | features_of(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_blocks_take_time_in_proportion_to_nesting():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert len(html_text.blocks("<div>" * n + "x" + "</div>" * n + "<b><div>" * n + "y" + "</b>" * n)) == 2
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(24_000) < 12 * max(seconds(4000), 0.02)
+
+
 def test_pages_of_the_table_give_their_articles(spark):
     import html
 

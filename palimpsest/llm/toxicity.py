@@ -22,6 +22,9 @@ PLACES = 1 << 20
 #: At most so many labelled texts are learned from, and of each label at least TOXIC_ROWS where there are so many; which
 #: ones depends on a hash of their ids.
 TRAINING_ROWS, TOXIC_ROWS = 12_000, 4000
+#: Scores are those of a collection in which the rarer label has the share that it has among all labelled ids, or this
+#: one if that is less: a rare label would have to be all but certain to reach the threshold.
+LEAST_SHARE = 0.25
 #: Terms of at least so many training texts have a weight and a vector.
 LEAST_TEXTS = 3
 RANK, EPOCHS, RATE, DECAY = 4, 300, 0.05, 1e-3
@@ -129,7 +132,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Machine from labelled rows that aren't held out: at most TRAINING_ROWS ids, smallest hashes first, whole texts.
 
-    A rare label has a share of at least TOXIC_ROWS ids; the bias is then set back to the odds of all labelled ids.
+    A rare label has at least TOXIC_ROWS ids, where there are so many; the bias is then set to the odds of the labels
+    among all labelled ids, or to those of LEAST_SHARE where one label has less.
     """
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("_toxic"))
     ids = ids.where(~held_out(F.col("doc_id")))
@@ -155,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     marks = np.array(rows.column("_toxic").to_pylist(), dtype=np.int64)[order] if order else np.zeros(0, np.int64)
     machine = fit([features[i] for i in order], (marks > 0).astype(np.int64))
     if rare:
-        machine.bias += float(np.log(all_[True] / all_[False]) - np.log(take[True] / take[False]))
+        share = min(max(all_[True] / sum(all_.values()), LEAST_SHARE), 1 - LEAST_SHARE)
+        machine.bias += float(np.log(share / (1 - share)) - np.log(take[True] / take[False]))
     return machine
 
 

@@ -1,8 +1,9 @@
 """Near-duplicate vectors by Euclidean p-stable hashing and exact cosine checks.
 
 Normalised vectors are projected on random directions; the projections, shifted and quantised, name a bucket in each of
-several tables. Vectors that share a bucket are checked by exact cosine; the links found join them to components, and
-within a component all pairs are checked, so that every link of its members counts.
+several tables. A key travels with the signs of some more projections instead of the vector; vectors of a bucket whose
+signs differ in few places are joined to candidate groups, and only there do vectors meet, where all pairs are checked by
+exact cosine. So a bucket may hold many unlike vectors for little, and few tables do.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from . import common, graph
 COSINE = 0.9
 #: Share of pairs just at the threshold that the tables are to bring together.
 RECALL = 0.93
-#: Unrelated vectors that a vector may meet by chance in one table.
-STRAY = 0.25
+#: Unrelated vectors that a vector may meet by chance in one table; comparing signs with so many costs about what a key does.
+STRAY = 64
+#: Signs that go with a key, in words of 64.
+SIGNS = 2
+#: A pair just at the threshold differs in more signs than are allowed with about this many standard deviations' chance.
+SLACK = 2.6
 #: Vectors of a group that are compared in one task at once.
 BLOCK = 1024
 
@@ -60,6 +65,18 @@ def bucket_keys(unit: np.ndarray, width: float, k: int, tables: int) -> np.ndarr
     return out
 
 
+def signs(unit: np.ndarray) -> np.ndarray:
+    """SIGNS words of the signs of random projections for each row of unit."""
+    side = np.random.default_rng(77).normal(size=(unit.shape[1], 64 * SIGNS))
+    return np.packbits(unit @ side > 0, axis=1, bitorder="little").view(np.int64)
+
+
+def allowed(cosine: float) -> int:
+    """Signs in which a pair at the threshold may differ: those expected from its angle, and some more."""
+    p, n = math.acos(max(-1.0, min(1.0, cosine))) / math.pi, 64 * SIGNS
+    return math.ceil(n * p + SLACK * math.sqrt(n * p * (1 - p)))
+
+
 def digest(vectors: pa.Array) -> pa.Array:
     """SHA-256 of a vector's components, or null: null vector, no, null or non-finite components, or all zero."""
     out = []
@@ -102,26 +119,43 @@ def _pairs(t: pa.Table, at: np.ndarray, dims: int, cosine: float):
                 yield a, b, links + a
 
 
-def _forest(dims: int, cosine: float):
+def _alike(most: int):
+    """Links (a, b) of a spanning forest of the rows of each bucket that differ in at most so many signs."""
+
     def run(batches):
         for t, at in graph.groups(batches, ("key", "i", "j")):
-            ids, out = t.column("id").to_numpy(), []
-            for a, b, links in _pairs(t, at, dims, cosine):
-                out += [(ids[p + a], ids[q + a]) for p, q in graph.forest(links - a, b - a)]
+            ids, mine = t.column("id").to_numpy(), t.column("mine").to_numpy()
+            own = np.stack([t.column(f"s{k}").to_numpy() for k in range(SIGNS)])
+            same, out = t.column("i").to_numpy() == t.column("j").to_numpy(), []
+            for a, b in zip(at[:-1], at[1:]):
+                if b - a < 2:
+                    continue
+                apart = sum(np.bitwise_count(x[a:b, None] ^ x[None, a:b]).astype(np.int16) for x in own)
+                near = np.triu(apart <= most, 1)
+                if not same[a]:
+                    near &= mine[a:b, None] != mine[None, a:b]
+                out += [(ids[p + a], ids[q + a]) for p, q in graph.forest(np.argwhere(near), b - a)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _degrees(dims: int, cosine: float):
+def _checked(dims: int, cosine: float):
+    """(id, links, other): each id's links counted, and links of a spanning forest as (id, null, other)."""
+
     def run(batches):
         for t, at in graph.groups(batches, ("key", "i", "j")):
-            mult, links = t.column("mult").to_numpy(), np.zeros(t.num_rows, np.int64)
-            for _, _, pairs in _pairs(t, at, dims, cosine):
+            ids, mult, links, tree = t.column("id").to_numpy(), t.column("mult").to_numpy(), np.zeros(t.num_rows, np.int64), []
+            for a, b, pairs in _pairs(t, at, dims, cosine):
                 np.add.at(links, pairs[:, 0], mult[pairs[:, 1]])
                 np.add.at(links, pairs[:, 1], mult[pairs[:, 0]])
+                tree += [(ids[p + a], ids[q + a]) for p, q in graph.forest(pairs - a, b - a)]
             some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[some]), pa.array(links[some])], names=["id", "links"])
+            n = int(some.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(ids[some], np.array([x for x, _ in tree], np.int64))), pa.array([*links[some].tolist(), *[None] * len(tree)], pa.int64()), pa.array([*[None] * n, *(int(y) for _, y in tree)], pa.int64())],
+                names=["id", "links", "other"],
+            )
 
     return run
 
@@ -144,21 +178,23 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL
 
     def hashed(batches):
         for batch in common.slices(batches, 4096):
-            keys = bucket_keys(units(batch.column("v"), dims), width, k, tables)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), tables))], names=["key", "id"])
+            unit = units(batch.column("v"), dims)
+            keys, words = bucket_keys(unit, width, k, tables), np.repeat(signs(unit), tables, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), tables)), *(pa.array(np.ascontiguousarray(words[:, x])) for x in range(SIGNS))], names=["key", "id", *names])
 
-    keyed = common.stash(classes.select("id", "v").mapInArrow(hashed, "key long, id long"), "vector-keys")
+    names = [f"s{x}" for x in range(SIGNS)]
+    keyed = common.stash(classes.select("id", "v").mapInArrow(hashed, "key long, id long, " + ", ".join(f"{n} long" for n in names)), "vector-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     candidates = common.attach(keyed, shared, "key", "n").where("n IS NOT NULL")
-    side = classes.select("id", "v", "dim", "mult")
-    blocks = graph.block_pairs(candidates.join(side, "id"), "key", "n", BLOCK)
-    edges = graph.meet(blocks.select("key", "i", "j", "mine", "id", "dim", "v"), "key").mapInArrow(_forest(dims, cosine), "a long, b long")
-    roots = common.stash(graph.components(edges), "vector-roots")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    members = common.attach(roots, sizes, "root", "n").withColumnRenamed("root", "key").join(side, "id")
+    blocks = graph.block_pairs(candidates, "key", "n", BLOCK)
+    edges = graph.meet(blocks.select("key", "i", "j", "mine", "id", *names), "key").mapInArrow(_alike(allowed(cosine)), "a long, b long")
+    groups = common.stash(graph.components(edges), "vector-groups")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    members = common.attach(groups, sizes, "root", "n").withColumnRenamed("root", "key").join(classes.select("id", "v", "dim", "mult"), "id")
     blocks = graph.block_pairs(members, "key", "n", BLOCK)
-    degrees = graph.meet(blocks.select("key", "i", "j", "mine", "id", "dim", "v", "mult"), "key").mapInArrow(_degrees(dims, cosine), "id long, links long")
-    degrees = degrees.groupBy("id").agg(F.sum("links").alias("links"))
+    checked = common.stash(graph.meet(blocks.select("key", "i", "j", "mine", "id", "dim", "v", "mult"), "key").mapInArrow(_checked(dims, cosine), "id long, links long, other long"), "vector-links")
+    degrees = checked.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))
+    roots = common.stash(graph.components(checked.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "vector-roots")
     known = classes.select("id", "digest", "mult").join(degrees, "id", "left").join(roots, "id", "left")
     known = common.stash(known.select("digest", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), "vector-classes")
     out = common.attach(ids, known, "digest", "mult")

@@ -3,7 +3,8 @@
 A window is WINDOW consecutive words. Its minimiser is the least hash of the runs of SEED words in it; consecutive
 windows with one minimiser form a super-k-mer, which travels as one packed string to the bucket of that minimiser. Equal
 windows have equal minimisers and so meet in a bucket, where sorting counts them exactly, word by word. A minimiser that
-occurs once in the corpus can't have a repeated window: such super-k-mers never travel.
+occurs once in the corpus can't have a repeated window: such super-k-mers never travel. Those of a minimiser that very
+many share would fill one task; they are cut into their windows, which meet by a digest of their words instead.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SEED = 8
 LONGEST = 1024
 #: A worker forgets hashed words beyond so many.
 WORDS = 400_000
+#: Packed strings of one minimiser that are counted in one task.
+HOT = 20_000
 
 
 def codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -204,6 +207,27 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[c] for o in out], pa.int32()) for c in (1, 2))], names=["sid", "first", "end"])
 
 
+def _windows(batches):
+    """(window, sid, first, n): a digest of each window of packed strings, with its place."""
+    for batch in common.slices(batches, 512):
+        windows, sids, firsts, ns = [], [], [], []
+        for sid, text, n in zip(*(batch.column(c).to_pylist() for c in ("sid", "words", "n"))):
+            words = text.split()
+            for k in range(len(words) - WINDOW + 1):
+                windows.append(hashlib.sha256(b" ".join(words[k : k + WINDOW])).digest())
+                sids.append(sid)
+                firsts.append(k)
+                ns.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(sids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ns, pa.int64())], names=["window", "sid", "first", "n"])
+
+
+def hot_ranges(strings: DataFrame) -> DataFrame:
+    """(sid, first, end): the words of packed strings (sid, words, n) that windows occurring more than once cover, window by window."""
+    windows = common.stash(strings.select("sid", "words", "n").mapInArrow(_windows, "window binary, sid long, first int, n long"), "windows")
+    seen = windows.groupBy("window").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1")
+    return common.attach(windows.select("window", "sid", "first"), seen, "window", "rows").where("times IS NOT NULL").select("sid", "first", (F.col("first") + WINDOW).cast("int").alias("end"))
+
+
 def _removed(batches):
     open_ = zstandard.ZstdDecompressor()
     for batch in common.slices(batches, 512):
@@ -235,7 +259,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     wanted = sorted_.mapInArrow(_repeated, "key long, at int").groupBy("key").agg(F.collect_set("at").alias("ats"))
     strings = packed(docs).select("key", "z").join(wanted, "key").mapInArrow(_strings, "h long, words binary, n long, met array<struct<key:long,at:int>>")
     strings = common.stash(strings.withColumn("sid", F.monotonically_increasing_id()), "super-kmers")
-    ranges = strings.select("h", "words", "n", "sid").repartition("h").sortWithinPartitions("h", "words").mapInArrow(_count, "sid long, first int, end int")
+    # the largest buckets, of which common.HOT_KEYS have a list; any other holds under 1/HOT_KEYS of all strings
+    hot = strings.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(common.HOT_KEYS).select("h")
+    hot = F.broadcast(common.stash(hot, "hot-minimisers"))
+    own = strings.select("h", "words", "n", "sid")
+    ranges = own.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h", "words").mapInArrow(_count, "sid long, first int, end int")
+    ranges = ranges.union(hot_ranges(own.join(hot, "h", "left_semi")))
     placed = ranges.join(strings.select("sid", "met"), "sid").select("first", "end", F.explode("met").alias("m"))
     per_doc = placed.groupBy(F.col("m.key").alias("key")).agg(F.collect_set(F.struct((F.col("m.at") + F.col("first")).alias("first"), (F.col("m.at") + F.col("end")).alias("end"))).alias("ranges"))
     return packed(docs).join(per_doc, "key", "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -136,3 +136,95 @@ def diff():
         return pd.Series([character_parts(x, y) for x, y in zip(a, b)])
 
     return run
+
+
+VOWELS = set("aeiou")
+
+
+def _consonants(word: str) -> list[bool]:
+    """Whether each letter is a consonant: y is one at the beginning and after a vowel."""
+    out: list[bool] = []
+    for i, c in enumerate(word):
+        out.append(c not in VOWELS and not (c == "y" and i and out[-1]))
+    return out
+
+
+def _measure(stem: str) -> int:
+    """How often a run of vowels is followed by one of consonants."""
+    kinds = _consonants(stem)
+    return sum(not a and b for a, b in zip(kinds, kinds[1:]))
+
+
+def _has_vowel(stem: str) -> bool:
+    return not all(_consonants(stem))
+
+
+def _double(word: str) -> bool:
+    return len(word) > 1 and word[-1] == word[-2] and _consonants(word)[-1]
+
+
+def _short_end(word: str) -> bool:
+    """Consonant, vowel, consonant at the end, the last not w, x or y."""
+    return len(word) > 2 and _consonants(word)[-3:] == [True, False, True] and word[-1] not in "wxy"
+
+
+STEP_2 = "ational ate tional tion enci ence anci ance izer ize abli able alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble".split()
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
+def porter(word: str) -> str:
+    """The stem of a lower-case English word by Porter's algorithm of 1980, with the rule order of its paper."""
+    if len(word) < 3:
+        return word
+
+    def swap(rules: dict[str, str], least: int) -> str:
+        for end in sorted(rules, key=len, reverse=True):
+            if word.endswith(end):
+                stem = word[: len(word) - len(end)]
+                return stem + rules[end] if _measure(stem) > least else word
+        return word
+
+    if word.endswith("sses") or word.endswith("ies"):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    if word.endswith("eed"):
+        word = word[:-1] if _measure(word[:-3]) > 0 else word
+    else:
+        for end in ("ed", "ing"):
+            if word.endswith(end):
+                if _has_vowel(word[: -len(end)]):
+                    word = word[: -len(end)]
+                    if word.endswith(("at", "bl", "iz")):
+                        word += "e"
+                    elif _double(word) and word[-1] not in "lsz":
+                        word = word[:-1]
+                    elif _measure(word) == 1 and _short_end(word):
+                        word += "e"
+                break
+    if word.endswith("y") and _has_vowel(word[:-1]):
+        word = word[:-1] + "i"
+    word = swap(dict(zip(STEP_2[::2], STEP_2[1::2])), 0)
+    word = swap(STEP_3, 0)
+    for end in sorted(STEP_4, key=len, reverse=True):
+        if word.endswith(end):
+            stem = word[: len(word) - len(end)]
+            if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
+                word = stem
+            break
+    if word.endswith("e"):
+        stem = word[:-1]
+        if _measure(stem) > 1 or _measure(stem) == 1 and not _short_end(stem):
+            word = stem
+    return word[:-1] if _measure(word) > 1 and _double(word) and word.endswith("l") else word
+
+
+def stems(words, column: str = "word"):
+    """(column, stem) of each distinct word of a table: the stemmer sees a word once, however often it occurs."""
+    from pyspark.sql import functions as F
+
+    def of(batch):
+        return batch.map(porter)
+
+    return words.select(column).distinct().withColumn("stem", F.pandas_udf(of, "string")(column))

@@ -89,35 +89,68 @@ def betweenness(links: pd.DataFrame) -> pd.Series:
     return pd.Series(score) / ((n - 1) * (n - 2)) if n > 2 else pd.Series(score, dtype=float)
 
 
-def communities(links: pd.DataFrame, rounds: int = 50) -> pd.Series:
-    """Communities by label propagation: a node takes the label that weighs most among its neighbours, ties to the smallest."""
+def modularity(links: pd.DataFrame, community: pd.Series) -> float:
+    """How much more of the weight lies within communities than chance would put there."""
+    total = float(links.weight.sum())
+    inside: dict = {}
+    degree: dict = {}
+    for s, t, w in links[["source", "target", "weight"]].itertuples(index=False):
+        for n in (s, t):
+            degree[community[n]] = degree.get(community[n], 0.0) + w
+        if community[s] == community[t]:
+            inside[community[s]] = inside.get(community[s], 0.0) + w
+    return sum(inside.get(c, 0.0) / total - (d / (2 * total)) ** 2 for c, d in degree.items()) if total else 0.0
+
+
+def communities(links: pd.DataFrame) -> pd.Series:
+    """Communities by Louvain's method: nodes move to the neighbouring community that gains most modularity, in order of
+    name, until none moves; communities then become nodes. They are numbered in order of their first node's name."""
     names = sorted({*links.source, *links.target})
-    near: dict[str, dict[str, float]] = {n: {} for n in names}
+    at = {n: i for i, n in enumerate(names)}
+    near: list[dict[int, float]] = [{} for _ in names]
     for s, t, w in links[["source", "target", "weight"]].itertuples(index=False):
-        near[s][t] = near[s].get(t, 0) + w
-        near[t][s] = near[t].get(s, 0) + w
-    label = {n: i for i, n in enumerate(names)}
-    for _ in range(rounds):
-        moved = False
-        for n in names:
-            votes: dict[int, float] = {}
-            for m, w in near[n].items():
-                votes[label[m]] = votes.get(label[m], 0) + w
-            if votes:
-                new = min(votes, key=lambda k: (-votes[k], k))
-                moved |= new != label[n]
-                label[n] = new
-        if not moved:
+        a, b = at[s], at[t]
+        near[a][b] = near[a].get(b, 0.0) + float(w)
+        near[b][a] = near[b].get(a, 0.0) + float(w)
+    of = list(range(len(names)))  # each node's community, as a node of the present level
+    while near:
+        total = sum(sum(x.values()) for x in near)  # a loop stands for both ends of its weight
+        degree = [sum(x.values()) for x in near]
+        label, sums = list(range(len(near))), list(degree)
+        moved, any_moved = True, False
+        while moved and total:
+            moved = False
+            for i, links_ in enumerate(near):
+                sums[label[i]] -= degree[i]
+                to: dict[int, float] = {label[i]: 0.0}
+                for j, w in links_.items():
+                    if j != i:
+                        to[label[j]] = to.get(label[j], 0.0) + w
+                gain = {c: w - sums[c] * degree[i] / total for c, w in to.items()}
+                best = min(gain, key=lambda c: (-gain[c], c))
+                if best != label[i] and gain[best] > gain[label[i]] + 1e-12:
+                    label[i], moved, any_moved = best, True, True
+                sums[label[i]] += degree[i]
+        if not any_moved:
             break
-    return pd.Series(label)
+        number = {c: k for k, c in enumerate(dict.fromkeys(label))}
+        of = [number[label[c]] for c in of]
+        joined: list[dict[int, float]] = [{} for _ in number]
+        for i, links_ in enumerate(near):
+            own = joined[number[label[i]]]
+            for j, w in links_.items():
+                own[number[label[j]]] = own.get(number[label[j]], 0.0) + w
+        near = joined
+    number = {c: k for k, c in enumerate(dict.fromkeys(of))}
+    return pd.Series({n: number[c] for n, c in zip(names, of)}, dtype="int64")
 
 
 def shown(kept: DataFrame, low: float = 3.0, high: float = 20.0) -> DataFrame:
     """Nodes with a size between low and high by their weight, and a place on a circle in order of name."""
     span = kept.agg(F.min("total").alias("a"), F.max("total").alias("b"), F.count("*").alias("n"))
-    from pyspark.sql import Window
+    from palimpsest.plans.tables import ordinal
 
-    numbered = kept.withColumn("nth", F.row_number().over(Window.orderBy("node")) - 1)  # at most the nodes that are shown
+    numbered = ordinal(kept, F.col("node"), name="nth").withColumn("nth", F.col("nth") - 1)
     scale = F.when(F.col("b") > F.col("a"), (F.col("total") - F.col("a")) / (F.col("b") - F.col("a"))).otherwise(F.lit(0.0))
     angle = F.lit(2 * math.pi) * F.col("nth") / F.col("n")
     return numbered.crossJoin(F.broadcast(span)).withColumns({"size": F.lit(low) + scale * (high - low), "x": F.cos(angle), "y": F.sin(angle)}).drop("a", "b", "n", "nth")  # span is one row

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from palimpsest.functions import text as T
 
 POSTINGS = "doc_id long, ngram long, pos int, start_byte int, end_byte int"
+YEAR = ", year int"
 
 
 def tokenised(docs: DataFrame, min_length: int = 2) -> DataFrame:
@@ -37,10 +38,13 @@ def frequencies(postings: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, n: int = 3, min_length: int = 2) -> DataFrame:
     """Postings with positions: n-gram hash, its index and the byte range from its first token to its last.
 
-    Bytes are those of the text's UTF-8. Tokens shorter than min_length don't count.
+    Bytes are those of the text's UTF-8. Tokens shorter than min_length don't count. A document's year, where docs has
+    one, goes with its postings.
     """
     import zlib
 
+    dated = "year" in docs.columns
+
     word = regex.compile(r"\p{L}+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +52,8 @@ def postings(docs: DataFrame, n: int = 3, min_length: int = 2) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 out: list[list] = [[], [], [], [], []]
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                years: list = []
+                for at_row, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
                     found, at, byte = [], 0, 0
                     text = text or ""
                     for m in word.finditer(text):
@@ -63,6 +68,25 @@ def postings(docs: DataFrame, n: int = 3, min_length: int = 2) -> DataFrame:
                         value = zlib.crc32(gram) << 32 | zlib.adler32(gram)
                         for c, v in zip(out, (doc, value - (1 << 63), i, found[i][1], found[i + n - 1][2])):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.int32()) for c in out[2:])], names=["doc_id", "ngram", "pos", "start_byte", "end_byte"])
+                    years += [at_row] * max(0, len(found) - n + 1)
+                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.int32()) for c in out[2:])]
+                if dated:
+                    cols.append(part.column("year").take(pa.array(years, pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ngram", "pos", "start_byte", "end_byte", "year"][: len(cols)])
+
+    own = ["doc_id", "text", *([F.col("year").try_cast("int").alias("year")] if dated else [])]
+    return docs.select(*own).mapInArrow(run, POSTINGS + YEAR * dated)
+
+
+def words_at(docs: DataFrame) -> DataFrame:
+    """(doc_id, idx, word, start_byte, end_byte): the letter runs of each text, lower case, with their bytes in its UTF-8."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), 1)
+    gaps = F.split(text, r"\p{L}+")
+    ends = F.aggregate(F.arrays_zip(gaps.alias("g"), found.alias("w")), F.expr("cast(array() as array<struct<start:int,end:int>>)"), lambda out, x: F.when(x["w"].isNull(), out).otherwise(F.concat(out, F.array(_bytes(out, x)))))
+    return docs.select("doc_id", F.posexplode(F.arrays_zip(F.transform(found, F.lower).alias("word"), ends.alias("at"))).alias("idx", "w")).select("doc_id", "idx", "w.word", F.col("w.at.start").alias("start_byte"), F.col("w.at.end").alias("end_byte"))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, POSTINGS)
+def _bytes(out, x):
+    begin = F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(0)) + F.octet_length(x["g"])
+    return F.struct(begin.alias("start"), (begin + F.octet_length(x["w"])).alias("end"))

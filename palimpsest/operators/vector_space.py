@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from palimpsest.operators import candidates as C
+
 
 def folded(objects: DataFrame, least: int, parent: str = "doc_id", order: str = "pos") -> DataFrame:
     """Text objects (parent, order, tokens) with short ones appended to the one before; a short first one stays alone."""
@@ -57,11 +59,13 @@ def term_similarity(weights: DataFrame, least: float, key: str = "chunk_id", jac
     """(a, b, similarity): pairs by an equi-join on the term; pairs of one table are taken once, a before b.
 
     jaccard is the least share of common terms, if pairs are to be filtered by it too. Terms of one key are dropped
-    before the join, the similarity needs their weights only through the vectors' length.
+    before the join, the similarity needs their weights only through the vectors' length; a hot term's keys meet in parts.
     """
-    a = weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa"))
-    b = (target if target is not None else weights).select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
-    met = a.join(b, "term")
+    own = weights.select(F.col(key).alias("doc_id"), F.col("term").alias("ngram"), "weight")
+    other = own if target is None else target.select(F.col(key).alias("doc_id"), F.col("term").alias("ngram"), "weight")
+    left, right = C.sides(own, other, C.frequencies(own, 2 if target is None else 1), C.LIST)
+    a, b = own.select(F.col("doc_id").alias("a")), other.select(F.col("doc_id").alias("b"))
+    met = left.select("ngram", "part", F.col("doc_id").alias("a"), F.col("weight").alias("wa")).join(right.select("ngram", "part", F.col("doc_id").alias("b"), F.col("weight").alias("wb")), ["ngram", "part"])
     if target is None:
         met = met.where("a < b")
     out = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"), F.count("*").alias("common")).where(F.round("similarity", 6) >= least)
@@ -180,3 +184,8 @@ def token_at(tokens: DataFrame, offsets: DataFrame, doc: str = "doc_id") -> Data
     """For each offset (doc, offset) the index of the last token that starts at or before it, or the first token."""
     met = offsets.join(tokens.select(doc, "idx", "start"), doc)
     return met.groupBy(doc, "offset").agg(F.coalesce(F.max(F.when(F.col("start") <= F.col("offset"), F.col("idx"))), F.min("idx")).alias("idx"))
+
+
+def chronological(rows: DataFrame, source: str = "source_year", target: str = "target_year") -> DataFrame:
+    """Pairs whose source isn't younger than their target; pairs without both years drop out."""
+    return rows.where(F.col(source) <= F.col(target))

@@ -86,8 +86,9 @@ def phrase_filter(spark, sf_dir):
 
 @register("benchmark_phrases", r"WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(text, ' ')), '[\p{P}\p{S}\p{N}]+', '', 'g'), '\p{Z}+', ' ', 'g'), ' ') AS t FROM documents), b AS (SELECT trim(regexp_replace(regexp_replace(lower(trim(text, ' ')), '[\p{P}\p{S}\p{N}]+', '', 'g'), '\p{Z}+', ' ', 'g'), ' ') AS p FROM benchmark) SELECT doc_id, EXISTS (SELECT 1 FROM b WHERE contains(c.t, b.p)) AS phrase_match FROM c")
 def benchmark_phrases(spark, sf_dir):
-    phrases = [r["text"] for r in table(spark, sf_dir, "benchmark").select("text").collect()]  # a phrase list is a setting
-    return X.phrase_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), phrases).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = X.phrases_within(docs, table(spark, sf_dir, "benchmark").select("text")).withColumn("hit", F.lit(True))
+    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("phrase_match"))
 
 
 @register("keep_and_banal_split", "SELECT d.doc_id, coalesce(l.toxic = 1, false) AS banal FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

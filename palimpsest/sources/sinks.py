@@ -72,3 +72,16 @@ def back_up(path: str, to: str) -> str:
 
 def restore(archive: str, to: str) -> None:
     shutil.unpack_archive(archive, to, "gztar", filter="data")
+
+
+def copy_table(spark: SparkSession, path: str, to: str) -> None:
+    """A table copied in the files' own format, on whatever storage both paths name."""
+    spark.read.parquet(path).write.mode("overwrite").parquet(to)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes (author, cluster, ...) and edges of a graph, and its authors with their numbers in order of name, as three tables."""
+    authors = ordinal(nodes.select("author").distinct(), F.col("author"), name="author_id").withColumn("author_id", F.col("author_id") - 1)
+    authors.write.mode("overwrite").parquet(f"{path}/authors")
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")

@@ -12,8 +12,9 @@ def test_query_matches_its_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    """What the rows are is tested in test_runs.py, test_alignment.py and test_functions.py."""
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

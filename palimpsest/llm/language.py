@@ -20,8 +20,9 @@ from . import common
 
 #: n-grams of 1 to 3 characters are hashed into so many places.
 PLACES = 1 << 16
-#: At most so many texts of each language are learned from; which ones depends on a hash of their ids.
-TRAINING_ROWS = 750
+#: At most so many texts are learned from, and besides so many of each language, for those that have few among the
+#: first; which ones depends on a hash of their ids.
+TRAINING_ROWS, LANGUAGE_ROWS = 3000, 100
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.05
 #: Feature values are shares of a text's n-grams, times this.
 SCALE = 40.0
@@ -162,13 +163,15 @@ def frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame) -> Model:
     """Model from rows with a language that aren't held out.
 
-    Document frequencies are those of all such rows; weights are learned from at most TRAINING_ROWS rows of each
-    language, smallest hashes of ids first, whole texts.
+    Document frequencies are those of all such rows; weights are learned from at most TRAINING_ROWS ids, and LANGUAGE_ROWS
+    of each language, smallest hashes of ids first, whole texts.
     """
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").distinct().withColumn("nth", nth).where(F.col("nth") <= TRAINING_ROWS).select("doc_id", "lang")
-    picked = known.join(F.broadcast(ids), ["doc_id", "lang"])  # TRAINING_ROWS ids a language
+    ids, by_hash = known.select("doc_id", "lang").distinct(), [F.xxhash64("doc_id"), F.col("doc_id"), F.col("lang")]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash))
+    own = ids.withColumn("nth", nth).where(F.col("nth") <= LANGUAGE_ROWS).select("doc_id", "lang")
+    ids = ids.orderBy(*by_hash).limit(TRAINING_ROWS).union(own).distinct()
+    picked = known.join(F.broadcast(ids), ["doc_id", "lang"])  # TRAINING_ROWS ids and LANGUAGE_ROWS a language
     df, texts = frequencies(known)
 
     def make():

@@ -94,6 +94,7 @@ def test_a_rare_toxic_label_is_learned(spark, monkeypatch):
 
 def test_a_rare_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language, "TRAINING_ROWS", 20)
+    monkeypatch.setattr(language, "LANGUAGE_ROWS", 10)
     rows = [(i, "the quick brown fox and the lazy dog " * 3, "en") for i in range(900)] + [(2000 + i, "быстрая лиса и ленивая собака " * 3, "ru") for i in range(6)]
     got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert all(r["lang_pred"] == ("ru" if r["doc_id"] >= 2000 else "en") for r in got)

@@ -80,13 +80,22 @@ def postings(docs: DataFrame, n: int = 3, min_length: int = 2) -> DataFrame:
 
 def words_at(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, word, start_byte, end_byte): the letter runs of each text, lower case, with their bytes in its UTF-8."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), 1)
-    gaps = F.split(text, r"\p{L}+")
-    ends = F.aggregate(F.arrays_zip(gaps.alias("g"), found.alias("w")), F.expr("cast(array() as array<struct<start:int,end:int>>)"), lambda out, x: F.when(x["w"].isNull(), out).otherwise(F.concat(out, F.array(_bytes(out, x)))))
-    return docs.select("doc_id", F.posexplode(F.arrays_zip(F.transform(found, F.lower).alias("word"), ends.alias("at"))).alias("idx", "w")).select("doc_id", "idx", "w.word", F.col("w.at.start").alias("start_byte"), F.col("w.at.end").alias("end_byte"))
+    word = regex.compile(r"\p{L}+")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out: list[list] = [[], [], [], [], []]
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    at = byte = 0
+                    for i, m in enumerate(word.finditer(text or "")):
+                        byte += len(text[at : m.start()].encode("utf-8", "replace"))
+                        end, at = byte + len(m[0].encode()), m.end()
+                        for c, v in zip(out, (doc, i, m[0].lower(), byte, end)):
+                            c.append(v)
+                        byte = end
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "idx", "word", "start_byte", "end_byte"])
 
-def _bytes(out, x):
-    begin = F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(0)) + F.octet_length(x["g"])
-    return F.struct(begin.alias("start"), (begin + F.octet_length(x["w"])).alias("end"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, idx int, word string, start_byte long, end_byte long")

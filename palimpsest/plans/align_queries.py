@@ -111,7 +111,12 @@ def top_classes(spark, sf_dir):
     return X.top_classes(scores, "o_custkey", 0.1).select("o_custkey", F.array_join("categories", "|").alias("categories"))
 
 
-@register("llm_scores_stub")
+@register(
+    "llm_scores_stub",
+    r"WITH c AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), "
+    "s AS (SELECT conv_id, turn, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 1.0 + round_even(4.0 * len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 0) END AS score FROM p) "
+    "SELECT conv_id, turn, CAST(score AS DOUBLE) AS llm_similarity, CASE CAST(score AS INTEGER) WHEN 1 THEN 'Unrelated' WHEN 2 THEN 'Neutral' WHEN 3 THEN 'Disagree' ELSE 'Agree' END AS llm_stance FROM s",
+)
 def llm_scores_stub(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("source_passage"))
     other = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("source_passage").alias("target_passage"))

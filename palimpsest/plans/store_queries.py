@@ -187,7 +187,7 @@ def db_stats(spark, sf_dir):
     return _plain(spark, sf_dir).statistics()
 
 
-@register("column_types")
+@register("column_types", f"SELECT column_name AS name, CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS type FROM (DESCRIBE {PASSAGES_SQL})")
 def column_types(spark, sf_dir):
     return spark.createDataFrame(list(_plain(spark, sf_dir).types().items()), "name string, type string")
 

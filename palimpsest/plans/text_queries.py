@@ -190,7 +190,16 @@ def title_shortening(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.short_title(F.col("text")).alias("title"))
 
 
-@register("passage_truncation")
+def _truncated(limit=600):
+    """SQL for a text cut at its last sentence end beyond half the limit."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    back = lambda mark: f"strpos(reverse(left(text, {limit})), {quoted(mark[::-1])})"
+    last = lambda mark: f"({limit} - {back(mark)} - {len(mark) - 2})"
+    cases = " ".join(f"WHEN {back(mark)} > 0 AND {last(mark)} - 1 > {limit / 2} THEN left(text, CAST({last(mark)} AS BIGINT))" for mark in T.DELIMITERS)
+    return f"CASE WHEN length(text) <= {limit} THEN text {cases} ELSE regexp_replace(left(text, {limit}), ' [^ ]*$', '') || '...' END"
+
+
+@register("passage_truncation", f"SELECT doc_id, {_truncated()} AS passage FROM documents")
 def passage_truncation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_passage(F.col("text")).alias("passage"))
 

@@ -180,6 +180,40 @@ def choose_expansion(scores: DataFrame, tie: float = 0.001) -> DataFrame:
     return scores.withColumn("expand", way)
 
 
+def widened(matches: DataFrame, sentences: DataFrame, scorer, rounds: int = 2, short: int = 4) -> DataFrame:
+    """matches (id, s_parent, s_first, s_last, t_parent, t_first, t_last) whose passages, runs of sentences (parent, pos, text), grow while a scorer likes it.
+
+    A match with fewer than ``short`` sentences on one side is tried with a sentence more before, and with one more
+    after, on both sides, within their parents; it takes the way that choose_expansion names and goes on from there, so
+    many rounds at most. scorer is a function of two pandas columns of texts.
+    """
+    from palimpsest.plans.tables import written
+
+    score = F.pandas_udf(scorer, "double")
+    sides = ("s", "t")
+    size = lambda c: F.col(f"{c}_last") - F.col(f"{c}_first") + 1
+    done = matches.where(F.least(size("s"), size("t")) >= short)
+    now = written(matches.where(F.least(size("s"), size("t")) < short), "matches")
+    for _ in range(rounds):
+        ways = F.explode(F.array(*(F.struct(F.lit(w).alias("way"), F.lit(p).alias("p"), F.lit(f).alias("f")) for w, p, f in (("original", 0, 0), ("previous", 1, 0), ("following", 0, 1)))))
+        tried = now.withColumn("w", ways)
+        each = [tried.select("id", "w.way", F.lit(c).alias("side"), F.col(f"{c}_parent").alias("parent"), F.explode(F.sequence(F.col(f"{c}_first") - F.col("w.p"), F.col(f"{c}_last") + F.col("w.f"))).alias("pos")) for c in sides]
+        texts = each[0].union(each[1]).join(sentences.select("parent", "pos", "text"), ["parent", "pos"])
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+        ranges = texts.groupBy("id", "way", "side").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), listed.alias("text"))
+        of = lambda c: ranges.where(F.col("side") == c).select("id", "way", *(F.col(x).alias(f"{c}_{x}") for x in ("first", "last", "text")))
+        scored = of("s").join(of("t"), ["id", "way"]).withColumn("score", score("s_text", "t_text"))
+        pick = lambda x, way: F.max(F.when(F.col("way") == way, F.col(x)))
+        wide = scored.groupBy("id").agg(*(pick("score", w).alias(w) for w in ("original", "previous", "following")), *(pick(f"{c}_first", "previous").alias(f"{c}_before") for c in sides), *(pick(f"{c}_last", "following").alias(f"{c}_after") for c in sides))
+        chosen = choose_expansion(wide).withColumns({"back": F.col("expand").isin("previous", "both"), "on": F.col("expand").isin("following", "both")})
+        out = now.join(chosen, "id", "left")
+        grown = {f"{c}_first": F.when(F.col("back"), F.col(f"{c}_before")).otherwise(F.col(f"{c}_first")) for c in sides} | {f"{c}_last": F.when(F.col("on"), F.col(f"{c}_after")).otherwise(F.col(f"{c}_last")) for c in sides}
+        out = written(out.withColumns(grown | {"_moved": F.coalesce(F.col("back") | F.col("on"), F.lit(False))}).select(*now.columns, "_moved"), "matches")
+        done = done.unionByName(out.where("NOT _moved").drop("_moved"))
+        now = out.where("_moved").drop("_moved")
+    return done.unionByName(now)
+
+
 def token_at(tokens: DataFrame, offsets: DataFrame, doc: str = "doc_id") -> DataFrame:
     """For each offset (doc, offset) the index of the last token that starts at or before it, or the first token."""
     met = offsets.join(tokens.select(doc, "idx", "start"), doc)

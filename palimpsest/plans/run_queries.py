@@ -287,3 +287,13 @@ def porter_stems(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     return counts.join(stems(counts), "word").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+@register("widened_matches")
+def widened_matches(spark, sf_dir):
+    """Turns of two conversations in a row as matches of one sentence, widened by the stub's scores."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("parent"), F.col("turn").cast("int").alias("pos"), "text")
+    one = turns.select(F.struct("parent", "pos").alias("id"), F.col("parent").alias("s_parent"), F.col("pos").alias("s_first"), F.col("pos").alias("s_last"), (F.col("parent") + 1).alias("t_parent"))
+    other = turns.select(F.col("parent").alias("t_parent"), F.col("pos").alias("s_first"), F.col("pos").alias("t_first"), F.col("pos").alias("t_last"))
+    matches = one.join(other, ["t_parent", "s_first"]).select("id", "s_parent", "s_first", "s_last", "t_parent", "t_first", "t_last")
+    return V.widened(matches, turns, X.stub_scorer).select(F.col("id.parent").alias("conv_id"), F.col("id.pos").alias("turn"), "s_first", "s_last", "t_first", "t_last")

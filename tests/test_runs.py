@@ -294,3 +294,32 @@ def test_expanded_passage_falls_back_where_offsets_are_missing(spark):
     rows = spark.createDataFrame([(1, 5, 9, "bbbb"), (2, None, None, "lost")], "source_doc_id long, source_start_byte int, source_end_byte int, source_passage string")
     got = {r["source_doc_id"]: r["expanded_passage"] for r in expanded(rows, docs, around=5).collect()}
     assert got == {1: "aaaa bbbb cccc", 2: "lost"}
+
+
+def test_widened_matches_follow_the_scores(spark):
+    from palimpsest.operators.cleaning import stub_scorer
+
+    said = {(r["conv_id"], r["turn"]): r["text"] for r in table(spark, SF, "conversations").collect() if r["text"] is not None}
+    score = lambda a, b: stub_scorer(pd.Series([a]), pd.Series([b]))[0]
+    text = lambda c, a, b: " ".join(said[c, k] for k in range(a, b + 1) if (c, k) in said)
+    want = {}
+    for c, k in said:
+        if (c + 1, k) not in said:
+            continue
+        s, t = [k, k], [k, k]
+        for _ in range(2):
+            if want.get((c, k)):
+                break
+            back = [(x[0] - ((d, x[0] - 1) in said), x[1]) for d, x in ((c, s), (c + 1, t))]
+            on = [(x[0], x[1] + ((d, x[1] + 1) in said)) for d, x in ((c, s), (c + 1, t))]
+            o, p, f = (score(text(c, *x), text(c + 1, *y)) for x, y in ((s, t), back, on))
+            way = "both" if p >= o and f >= o and abs(p - f) < 0.001 else "previous" if p >= o and (f < o or p > f) else "following" if f >= o else "none"
+            if way == "none":
+                break
+            if way in ("both", "previous"):
+                s, t = [back[0][0], s[1]], [back[1][0], t[1]]
+            if way in ("both", "following"):
+                s, t = [s[0], on[0][1]], [t[0], on[1][1]]
+        want[c, k] = (*s, *t)
+    got = {(r["conv_id"], r["turn"]): (r["s_first"], r["s_last"], r["t_first"], r["t_last"]) for r in QUERIES["widened_matches"](spark, SF).collect()}
+    assert got == want and any(v[1] > v[0] for v in want.values())

@@ -100,3 +100,24 @@ def forest(links: np.ndarray, n: int) -> list[tuple[int, int]]:
             if len(out) == n - 1:
                 break
     return out
+
+
+def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links a to b that join trees; root, the smallest node of each node's tree, is brought up to date.
+
+    In each round every tree hooks onto a tree of smaller root by its first link to one, so none closes a circle.
+    """
+    out = []
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if not len(a):
+            return out
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        out += zip(a[first].tolist(), b[first].tolist())
+        to = np.arange(len(root))
+        to[high] = np.minimum(x, y)[first]
+        while (to[to] != to).any():
+            to = to[to]
+        root[:] = to[root]

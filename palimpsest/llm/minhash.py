@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -28,8 +29,9 @@ CONTAINMENT = 0.65
 RECALL = 0.95
 #: MinHash values a document has at most, and bands with more values each are taken as long as they suffice.
 HASHES = 224
-#: Shingles of the documents that are compared in one task at once, about.
-BLOCK = 1 << 19
+#: Shingles of the documents that are compared in one task at once, about; a document counts for at least LEAST, so that
+#: those are at most BLOCK / LEAST however short they are.
+BLOCK, LEAST = 1 << 19, 128
 #: A worker forgets hashed words beyond so many.
 WORDS = 400_000
 
@@ -183,35 +185,50 @@ def _heads(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
 
-#: Shingles that so many sets of a group hold are counted by pairs of their sets, more frequent ones by matrices.
-RARE = 24
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the sizes of all pairwise intersections."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-    count = np.diff(np.append(first, len(values)))
-    out = np.zeros((n, n), np.float32)
-    for k in range(2, RARE + 1):
-        at = first[count == k]
-        for x in range(k if len(at) else 0):
-            for y in range(x + 1, k):
-                np.add.at(out, (owner[at + x], owner[at + y]), 1)
-    out += out.T
-    often = np.flatnonzero(count > RARE)
-    step = max(64, (1 << 22) // n)
-    for at in range(0, len(often), step):
-        some = often[at : at + step]
-        part = np.zeros((n, len(some)), np.float32)
-        rows = np.concatenate([np.arange(first[c], first[c] + count[c]) for c in some])
-        part[owner[rows], np.repeat(np.arange(len(some)), count[some])] = 1
-        out += part @ part.T
-    return out
+#: Shingles that so many sets, or this share of the sets looked up, hold are counted one by one, more frequent ones by matrices.
+RARE, RARE_SHARE = 24, 1 / 16
+#: Pairs of sets whose intersections are held at once, about.
+CELLS = 1 << 20
+
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Strips of the matrix of the sizes of the intersections of sets ``rows`` and sets ``cols``: the first row's place, and so many rows of it."""
+    size = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate([sets[x] for x in np.append(cols, rows)]), return_inverse=True)
+    held, asked = np.split(code, [size[cols].sum()])
+    count = np.bincount(held, minlength=int(code.max(initial=0)) + 1)
+    order = np.argsort(held, kind="stable")
+    members, first = np.repeat(np.arange(len(cols)), size[cols])[order], np.append(0, np.cumsum(count))
+    often = count > max(RARE, len(cols) * RARE_SHARE)
+    begin = np.append(0, np.cumsum(size[rows]))
+    height = max(1, CELLS // len(cols))
+    for at in range(0, len(rows), height):
+        end = min(at + height, len(rows))
+        mine = asked[begin[at] : begin[end]]
+        row = np.repeat(np.arange(end - at), size[rows[at:end]])
+        out = np.zeros((end - at) * len(cols), np.int32)
+        few = ~often[mine] & (count[mine] > 0)
+        value, owner = mine[few], row[few]
+        met = np.cumsum(count[value])
+        cuts = np.searchsorted(met, np.arange(CELLS, met[-1] if len(met) else 0, CELLS))
+        for v, o in zip(np.split(value, cuts), np.split(owner, cuts)):
+            n = count[v]
+            place = np.arange(n.sum()) + np.repeat(first[v] - np.append(0, np.cumsum(n)[:-1]), n) if len(v) else v
+            out += np.bincount(np.repeat(o, n) * len(cols) + members[place], minlength=len(out)).astype(np.int32)
+        out = out.reshape(end - at, len(cols))
+        value, owner = mine[often[mine]], row[often[mine]]
+        some = np.unique(value)
+        step = max(64, CELLS // (end - at + len(cols)))
+        for k in range(0, len(some), step):
+            part = some[k : k + step]
+            near = np.zeros((end - at, len(part)), np.float32)
+            far = np.zeros((len(cols), len(part)), np.float32)
+            inside = (value >= part[0]) & (value <= part[-1])
+            near[owner[inside], np.searchsorted(part, value[inside])] = 1
+            for c, v in enumerate(part):
+                far[members[first[v] : first[v + 1]], c] = 1
+            out += (near @ far.T).astype(np.int32)
+        yield at, out
 
 
 def _checked(containment: float):
@@ -229,14 +246,19 @@ def _checked(containment: float):
                     continue
                 sets = [shingles(x or "", known) for x in t.column("text").slice(a, b - a).to_pylist()]
                 size = np.array([len(s) for s in sets])
-                linked = overlaps(sets) >= containment * np.maximum(size[:, None], size[None]) - 1e-6
-                if not same[a]:
-                    linked &= mine[a:b, None] != mine[None, a:b]
-                linked &= ~(guest[a:b, None] & guest[None, a:b])
-                pairs = np.argwhere(np.triu(linked, 1))
-                np.add.at(count, pairs[:, 0] + a, mult[pairs[:, 1] + a])
-                np.add.at(count, pairs[:, 1] + a, mult[pairs[:, 0] + a])
-                tree += [(ids[x + a], ids[y + a]) for x, y in graph.forest(pairs, b - a)]
+                whole, root = same[a], np.arange(b - a)
+                rows = np.arange(b - a) if whole else np.flatnonzero(mine[a:b] == mine[a])
+                cols = rows if whole else np.flatnonzero(mine[a:b] != mine[a])
+                if not len(cols):
+                    continue
+                for top, shared in overlaps(sets, rows, cols):
+                    linked = shared >= containment * np.maximum(size[rows[top : top + len(shared), None]], size[cols]) - 1e-6
+                    x, y = np.nonzero(np.triu(linked, top + 1) if whole else linked)
+                    x, y = rows[x + top] + a, cols[y] + a
+                    x, y = (k[~(guest[x] & guest[y])] for k in (x, y))
+                    np.add.at(count, x, mult[y])
+                    np.add.at(count, y, mult[x])
+                    tree += [(ids[p + a], ids[q + a]) for p, q in graph.join(root, x - a, y - a)]
             some = count > 0
             n = int(some.sum())
             yield pa.RecordBatch.from_arrays(
@@ -250,6 +272,7 @@ def _checked(containment: float):
 def by_size(members: DataFrame, containment: float) -> DataFrame:
     """(id, mult, key, shingles, guest): members of candidate groups, those of groups beyond a block cut by size.
 
+    Column shingles is the group's total for block_pairs, where a set counts for LEAST at least.
     Two linked sets differ in size by less than the factor 1 / containment. A large group becomes one of each range of
     sizes by that factor; a member is at home in its own and a guest in the one above, and guests aren't compared with
     each other.
@@ -258,7 +281,7 @@ def by_size(members: DataFrame, containment: float) -> DataFrame:
     step = F.floor(F.log("size") / -math.log(containment) + 1e-9)
     places = F.when(big, F.array(F.struct(F.xxhash64("key", step).alias("key"), F.lit(False).alias("guest")), F.struct(F.xxhash64("key", step + 1).alias("key"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("key"), F.lit(False).alias("guest"))))
     each = members.select("id", "mult", "size", F.explode(places).alias("p")).select("id", "mult", "size", "p.key", "p.guest")
-    total = each.groupBy("key").agg(F.sum("size").alias("shingles"), F.count("*").alias("n"), F.min("guest").alias("_empty"))
+    total = each.groupBy("key").agg(F.sum(F.greatest("size", F.lit(LEAST))).alias("shingles"), F.count("*").alias("n"), F.min("guest").alias("_empty"))
     return common.attach(each, total, "key", "n").where("n > 1 AND NOT _empty").select("id", "mult", "key", "shingles", "guest")
 
 
@@ -279,7 +302,7 @@ def _near(docs: DataFrame, containment: float) -> tuple[DataFrame, DataFrame, di
     classes = valid.groupBy("digest").agg(F.min("row").alias("id"), F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("mult"), F.min("size").alias("size"))
     classes = common.stash(classes, "near-classes")
     members = classes.select("id", "mult", "size").join(roots, "id").withColumnRenamed("root", "key")
-    total = members.groupBy("key").agg(F.sum("size").alias("shingles"), F.count("*").alias("n")).where("n > 1")
+    total = members.groupBy("key").agg(F.sum(F.greatest("size", F.lit(LEAST))).alias("shingles"), F.count("*").alias("n")).where("n > 1")
     members = common.stash(by_size(common.attach(members, total, "key", "n").where("n > 1"), containment), "near-members")
     # members grow with the corpus, so they are never broadcast, whatever their size is taken to be
     texts = held.select(F.col("row").alias("id"), text.alias("text")).join(members.hint("merge"), "id")

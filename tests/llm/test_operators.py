@@ -4,9 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -130,6 +132,61 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert got == want and sum(want.values())
 
 
+def checked(texts, mine, guest=None):
+    """What the check of one candidate group gives: the links of each text and the texts of each tree."""
+    n = len(texts)
+    whole = len(set(mine)) == 1
+    rows = {"key": np.ones(n, np.int64), "i": np.zeros(n, np.int32), "j": np.full(n, 0 if whole else 1, np.int32), "mine": np.array(mine, np.int32), "id": np.arange(n), "mult": np.ones(n, np.int64), "guest": np.array(guest or [False] * n), "text": texts}
+    links, root = [0] * n, np.arange(n)
+    for batch in minhash._checked(minhash.CONTAINMENT)(iter(pa.table(rows).to_batches(max_chunksize=400))):
+        for i, k, other in zip(*(c.to_pylist() for c in batch.columns)):
+            if k is not None:
+                links[i] += k
+            else:
+                assert root[i] != root[other], "a circle"
+                root[root == max(root[i], root[other])] = min(root[i], root[other])
+    return links, root.tolist()
+
+
+def test_a_group_of_many_short_documents_takes_little_memory():
+    """Memory of a group goes by its shingles, not by the square of its documents."""
+    rng = random.Random(3)
+    texts = [" ".join([*(["the", "sentence", "they", "all", "share"] if i % 3 else []), *(f"w{rng.randrange(40)}" for _ in range(3 + i % 4))]) for i in range(3000)]
+    tracemalloc.start()
+    links, root = checked(texts, [0] * 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6
+    sets, holders = [set(minhash.shingles(t, {}).tolist()) for t in texts], collections.defaultdict(list)
+    for i, own in enumerate(sets):
+        for x in own:
+            holders[x].append(i)
+    for i in range(0, 3000, 100):
+        met = collections.Counter(j for x in sets[i] for j in holders[x] if j != i)
+        near = [j for j, k in met.items() if k >= minhash.CONTAINMENT * max(len(sets[i]), len(sets[j])) - 1e-6]
+        assert links[i] == len(near) and all(root[j] == root[i] for j in near)
+    assert sum(links)
+
+
+@pytest.mark.parametrize("cells, rare, share", [(1 << 20, 24, 1 / 16), (50, 2, 0), (7, 0, 0), (300, 10**6, 0)])
+def test_strips_of_pairs_lose_no_link(monkeypatch, cells, rare, share):
+    for k, v in {"CELLS": cells, "RARE": rare, "RARE_SHARE": share}.items():
+        monkeypatch.setattr(minhash, k, v)
+    rng = random.Random(5)
+    base = prose(5, 60).split()
+    texts = [" ".join(w if rng.randrange(20) else f"x{i}" for w in base[: 60 - i % 25]) for i in range(50)] + ["", "one", "one two"]
+    n = len(texts)
+    sets = [set(minhash.shingles(t, {}).tolist()) for t in texts]
+    for mine, guest in (([0] * n, [False] * n), ([i % 2 for i in range(n)], [False] * n), ([0] * n, [i % 3 == 0 for i in range(n)]), ([1 - i % 2 for i in range(n)], [i % 5 < 2 for i in range(n)])):
+        near = lambda i, j: i != j and bool(sets[i] and sets[j]) and (len(set(mine)) == 1 or mine[i] != mine[j]) and not (guest[i] and guest[j]) and len(sets[i] & sets[j]) >= minhash.CONTAINMENT * max(len(sets[i]), len(sets[j])) - 1e-6  # noqa: B023, E731
+        links, root = checked(texts, mine, guest)
+        assert links == [sum(near(i, j) for j in range(n)) for i in range(n)] and sum(links)
+        want = list(range(n))
+        for _ in range(n):
+            want = [min([want[i], *(want[j] for j in range(n) if near(i, j))]) for i in range(n)]
+        assert root == want
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows, labels = [], []

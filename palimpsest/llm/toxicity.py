@@ -27,6 +27,8 @@ TRAINING_ROWS, TOXIC_ROWS = 12_000, 4000
 LEAST_SHARE = 0.25
 #: Terms of at least so many training texts have a weight and a vector.
 LEAST_TEXTS = 3
+#: Places of texts that the fit reads at once, about.
+PLACES_AT_ONCE = 1 << 18
 RANK, EPOCHS, RATE, DECAY = 4, 300, 0.05, 1e-3
 #: Pull of weights and of vectors towards zero for a term that is alike under both labels, as of a normal prior; it falls
 #: off where the z-score of the difference exceeds LEAST_Z. Each term can be learned, those without such evidence need more.
@@ -72,13 +74,30 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def evidence(col: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Each term's z-score of the difference of its log odds between the labels."""
-    p = np.bincount(col, labels[owner]) + 0.5
-    n = np.bincount(col, 1 - labels[owner]) + 0.5
+def evidence(p: np.ndarray, n: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Each term's z-score of the difference of its log odds between the labels, from its numbers of texts of label 1 and 0."""
+    p, n = p + 0.5, n + 0.5
     return (np.log(p / (labels.sum() + 1 - p + 0.5)) - np.log(n / ((1 - labels).sum() + 1 - n + 0.5))) / np.sqrt(1 / p + 1 / n)
 
 
+def sums(at: np.ndarray, size: np.ndarray):
+    """Function of values: the sums of values[at] over consecutive pieces of at of these sizes, none of them 0.
+
+    at is read a few pieces at a time, so that nothing of its length is made.
+    """
+    ends = np.cumsum(size)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(at), PLACES_AT_ONCE)))
+    parts = [(slice(a, b), slice(ends[a] - size[a], ends[b - 1]), ends[a:b] - size[a:b] - (ends[a] - size[a])) for a, b in zip(cuts, [*cuts[1:], len(size)])]
+
+    def of(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(size))
+        for mine, entries, begins in parts:
+            out[mine] = np.add.reduceat(values[at[entries]], begins)
+        return out
+
+    return of
+
+
 def fit(features: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Machine by full-batch Adam on the logistic loss. Without both labels it scores the share of label 1 (none: 0).
 
@@ -86,30 +105,35 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> Machine:
     """
     n, share = len(labels), float(labels.mean()) if len(labels) else 0.0
     prior = float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -9, 9))
-    place = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(f) for f in features])
+    place = np.concatenate([np.zeros(0, np.int32), *features], dtype=np.int32, casting="same_kind")
     here = np.flatnonzero(np.bincount(place, minlength=PLACES) >= LEAST_TEXTS) if 0 < share < 1 else np.zeros(0, np.int64)
     at = {int(t): i for i, t in enumerate(here)}
     rng = np.random.default_rng(7)
     bias, w, v = np.array([prior]), np.zeros(len(here)), rng.normal(0, 0.01, (RANK, len(here)))
     if not len(here):
         return Machine(prior, at, w, v.T)
-    col = np.minimum(np.searchsorted(here, place), len(here) - 1)
-    met = here[col] == place
-    owner, col = owner[met], col[met]
-    full, begins = np.unique(owner, return_index=True)  # texts with a term, and where theirs begin
-    order = np.argsort(col, kind="stable")
-    by_term, of_term = owner[order], np.searchsorted(col[order], np.arange(len(here)))
+    row = np.full(PLACES, -1, np.int32)
+    row[here] = np.arange(len(here))
+    col = row[place]
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])[col >= 0]
+    col = col[col >= 0]
+    del place
+    texts, by_term = np.bincount(owner, minlength=n), col.astype(np.int64)
+    by_term *= n
+    by_term += owner
+    by_term.sort()  # by term, then by text
+    by_term %= n
+    del owner
+    full = np.flatnonzero(texts)  # texts with a term
+    per_full, per_term = sums(col, texts[full]), sums(by_term.astype(np.int32), np.bincount(col, minlength=len(here)))
+    del by_term
 
     def per_text(values: np.ndarray) -> np.ndarray:
         out = np.zeros(n)
-        out[full] = np.add.reduceat(values[col], begins)
+        out[full] = per_full(values)
         return out
 
-    def per_term(values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values[by_term], of_term)
-
-    pull = 1 / (1 + (np.abs(evidence(col, owner, labels)) / LEAST_Z) ** POWER)
+    pull = 1 / (1 + (np.abs(evidence(per_term(labels), per_term(1 - labels), labels)) / LEAST_Z) ** POWER)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (bias, w, v)]
     for step in range(1, EPOCHS + 1):
         xv = np.stack([per_text(k) for k in v])
@@ -124,6 +148,18 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> Machine:
     return Machine(float(bias[0]), at, w, np.ascontiguousarray(v.T))
 
 
+def learned(rows: pa.Table) -> Machine:
+    """Machine from rows (doc_id, _toxic, places) in any order; the places are read where they lie, not made Python objects."""
+    features = []
+    for chunk in rows.column("places").chunks:
+        ends = chunk.offsets.to_numpy()
+        features += np.split(chunk.flatten().to_numpy(), ends[1:-1] - ends[0]) if len(chunk) else []
+    ids, marks = rows.column("doc_id").to_numpy(), rows.column("_toxic").to_numpy()
+    _, nth, count = np.unique(ids, return_inverse=True, return_counts=True)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].astype(np.int64).tobytes() if count[nth[i]] > 1 else b""))
+    return fit([features[i] for i in order], (marks[order] > 0).astype(np.int64) if order else np.zeros(0, np.int64))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text, modulo 3, is 1; a null id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -154,10 +190,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         return each
 
     rows = common.scan(picked.select("doc_id", F.col("_toxic").cast("int").alias("_toxic"), "text"), make, "doc_id long, _toxic int, places array<int>").toArrow()
-    features = [np.array(x, dtype=np.int64) for x in rows.column("places").to_pylist()]
-    order = sorted(range(len(features)), key=lambda i: (rows.column("doc_id")[i].as_py(), features[i].tobytes()))
-    marks = np.array(rows.column("_toxic").to_pylist(), dtype=np.int64)[order] if order else np.zeros(0, np.int64)
-    machine = fit([features[i] for i in order], (marks > 0).astype(np.int64))
+    machine = learned(rows)
     if rare:
         share = min(max(all_[True] / sum(all_.values()), LEAST_SHARE), 1 - LEAST_SHARE)
         machine.bias += float(np.log(share / (1 - share)) - np.log(take[True] / take[False]))

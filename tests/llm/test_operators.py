@@ -243,6 +243,35 @@ def test_machine_learns_a_pair_of_terms_that_are_neutral_alone():
     assert np.mean((np.array(raw) > 0) == np.array(labels[800:], bool)) > 0.95
 
 
+def test_machine_is_learned_in_little_memory(monkeypatch):
+    """The driver learns: beside the texts' places, it holds few numbers a place."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rng = np.random.default_rng(2)
+    features = [np.unique(rng.integers(0, 30_000, 400).astype(np.int32)) for _ in range(5000)]
+    labels = rng.integers(0, 2, 5000)
+    tracemalloc.start()
+    toxicity.fit(features, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(map(len, features))
+
+
+def test_machine_is_the_same_in_any_order_of_rows_and_pieces(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 20)
+    rng = np.random.default_rng(2)
+    rows = [(i // 2 if i < 20 else i, int(rng.integers(0, 2)), np.unique(rng.integers(0, 90, i % 30)).tolist()) for i in range(200)]
+    kind = pa.schema([("doc_id", pa.int64()), ("_toxic", pa.int32()), ("places", pa.list_(pa.int32()))])
+    found = []
+    for at_once, cut in ((1 << 18, 200), (50, 7), (1, 200)):
+        monkeypatch.setattr(toxicity, "PLACES_AT_ONCE", at_once)
+        t = pa.table([list(c) for c in zip(*rows)], schema=kind)
+        m = toxicity.learned(pa.concat_tables([t.slice(k, cut) for k in range(0, 200, cut)]))
+        found.append((m.bias, m.terms, m.weights.tolist(), m.vectors.tolist()))
+        rows = rows[::-1]
+    assert found[0] == found[1] == found[2] and found[0][1]
+    assert toxicity.learned(kind.empty_table()).terms == {}
+
+
 def test_packing(spark):
     tool = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     rows = mixed() + [(30 + i, prose(50 + i, 10 + 37 * i % 300)) for i in range(60)]

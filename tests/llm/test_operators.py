@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, exact_dedup, html_text, language, minhash, packing, secrets, substrings, toxicity, vectors
+from palimpsest.llm import bpe, exact_dedup, graph, html_text, language, minhash, packing, secrets, substrings, toxicity, vectors
 from palimpsest.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -132,6 +132,16 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert got == want and sum(want.values())
 
 
+def test_blocks_have_a_bound_on_documents(spark):
+    """A candidate group of many documents of few shingles is cut too, and every two of its documents meet once."""
+    n = 20_000
+    members = spark.range(n).selectExpr("id", "1L AS mult", "4L + id % 2 AS size", "1L AS key", f"{n}L * 4 AS shingles", f"{n}L AS n")
+    cut = graph.block_pairs(minhash.by_size(members, minhash.CONTAINMENT), "key", "shingles", minhash.BLOCK)
+    groups = cut.groupBy("key", "i", "j").agg(F.count("*").alias("n"), F.sum((F.col("mine") == F.col("i")).cast("long")).alias("first")).collect()
+    assert max(r["n"] for r in groups) < 3 * 4096
+    assert sum(r["n"] * (r["n"] - 1) // 2 if r["i"] == r["j"] else r["first"] * (r["n"] - r["first"]) for r in groups) == n * (n - 1) // 2
+
+
 def checked(texts, mine, guest=None):
     """What the check of one candidate group gives: the links of each text and the texts of each tree."""
     n = len(texts)

@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -35,6 +36,24 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is written meanwhile goes to Python in Arrow batches of about so many bytes, or one row; a limit that the session has set stands.
+
+    By default a batch ends at 10,000 rows only, however long they are; the executor holds it outside its heap and the
+    Python worker a second time.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is not None:
+        yield
+        return
+    spark.conf.set(limit, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(limit)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

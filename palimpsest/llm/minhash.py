@@ -33,7 +33,9 @@ HASHES = 224
 #: those are at most BLOCK / LEAST however short they are.
 BLOCK, LEAST = 1 << 19, 128
 #: A worker forgets hashed words beyond so many.
-WORDS = 400_000
+WORDS = 100_000
+#: Bytes of rows that an executor and a Python worker exchange at once, about.
+BATCH = 1 << 22
 
 
 def shingles(text: str, known: dict[str, int]) -> np.ndarray:
@@ -231,12 +233,20 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iter
         yield at, out
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches with the bytes of their shingles in the place of the texts: BLOCK bounds those, while a text that repeats itself may be far longer."""
+    for batch in common.slices(batches):
+        own = pa.array([shingles(x or "", _KNOWN).tobytes() for x in batch.column("text").to_pylist()], pa.binary())
+        others = [c for c in batch.schema.names if c != "text"]
+        # copied by take, as a slice would keep the texts beside it
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(np.arange(batch.num_rows))) for c in others), own], [*others, "own"])
+
+
 def _checked(containment: float):
     """(id, links, other): each id's links counted, and links of a spanning forest as (id, null, other)."""
 
     def run(batches):
-        known: dict[str, int] = {}
-        for t, at in graph.groups(batches, ("key", "i", "j")):
+        for t, at in graph.groups(_sets(batches), ("key", "i", "j")):
             ids, mult, mine = (t.column(c).to_numpy() for c in ("id", "mult", "mine"))
             guest = np.asarray(t.column("guest"))
             same = t.column("i").to_numpy() == t.column("j").to_numpy()
@@ -244,7 +254,7 @@ def _checked(containment: float):
             for a, b in zip(at[:-1], at[1:]):
                 if b - a < 2:
                     continue
-                sets = [shingles(x or "", known) for x in t.column("text").slice(a, b - a).to_pylist()]
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("own").slice(a, b - a).to_pylist()]
                 size = np.array([len(s) for s in sets])
                 whole, root = same[a], np.arange(b - a)
                 rows = np.arange(b - a) if whole else np.flatnonzero(mine[a:b] == mine[a])
@@ -290,6 +300,12 @@ def _near(docs: DataFrame, containment: float) -> tuple[DataFrame, DataFrame, di
 
     Everything goes by these numbers: ids may be null or shared by rows of different texts.
     """
+    with common.batch_bytes(docs.sparkSession, BATCH):
+        return _written(docs, containment)
+
+
+def _written(docs: DataFrame, containment: float) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """As _near; whatever of it needs Python is written here, so that batch_bytes holds for it."""
     boxes, names = common.boxed(docs)
     text, doc_id = F.col(names["text"]), F.col(names["doc_id"])
     held = common.stash(boxes.withColumn("own", _hashed()(text)).withColumn("row", F.monotonically_increasing_id()), "near-sets")

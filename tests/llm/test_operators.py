@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, exact_dedup, graph, html_text, language, minhash, packing, secrets, substrings, toxicity, vectors
+from palimpsest.llm import bpe, common, exact_dedup, graph, html_text, language, minhash, packing, secrets, substrings, toxicity, vectors
 from palimpsest.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -178,6 +178,41 @@ def test_a_group_of_many_short_documents_takes_little_memory():
     assert sum(links)
 
 
+def test_a_group_of_texts_that_repeat_themselves_takes_little_memory():
+    """Memory of a group goes by its shingles, not by the length of its texts."""
+    n, seen = 600, []
+
+    def batches():
+        for at in range(0, n, 20):
+            seen.append(pa.total_allocated_bytes())
+            texts = [f"{prose(i % 50, 40)} " * 400 for i in range(at, at + 20)]
+            rows = {"key": np.ones(20, np.int64), "i": np.zeros(20, np.int32), "j": np.zeros(20, np.int32), "mine": np.zeros(20, np.int32), "id": np.arange(at, at + 20), "mult": np.ones(20, np.int64), "guest": np.zeros(20, bool)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in rows.items()} | {"text": pa.array(texts)})
+
+    links = {i: k for batch in minhash._checked(minhash.CONTAINMENT)(batches()) for i, k, _ in zip(*(c.to_pylist() for c in batch.columns)) if k is not None}
+    assert links == {i: n // 50 - 1 for i in range(n)}
+    assert max(seen) - seen[0] < 10e6
+
+
+def test_near_documents_go_to_python_in_batches_of_few_bytes(spark, monkeypatch):
+    limit, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", set(), common.stash
+    monkeypatch.setattr(common, "stash", lambda df, tag: (seen.add(spark.conf.get(limit, None)), write(df, tag))[1])
+    minhash.drop_near(docs(spark, mixed()))
+    assert seen == {str(minhash.BATCH)} and spark.conf.get(limit, None) is None
+    rows = write(spark.range(0, 2000, 1, 1).selectExpr("repeat(cast(id AS string), 5000) AS text"), "long-rows")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    with common.batch_bytes(spark, minhash.BATCH):
+        got = [r["n"] for r in write(rows.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert max(got) < 1.5 * minhash.BATCH and sum(got) > 4 * minhash.BATCH
+    spark.conf.set(limit, "1m")
+    try:
+        with common.batch_bytes(spark, minhash.BATCH):
+            assert spark.conf.get(limit) == "1m"
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
+
+
 @pytest.mark.parametrize("cells, rare, share", [(1 << 20, 24, 1 / 16), (50, 2, 0), (7, 0, 0), (300, 10**6, 0)])
 def test_strips_of_pairs_lose_no_link(monkeypatch, cells, rare, share):
     for k, v in {"CELLS": cells, "RARE": rare, "RARE_SHARE": share}.items():

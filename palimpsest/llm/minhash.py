@@ -190,7 +190,7 @@ def _heads(batches):
 #: Shingles that so many sets, or this share of the sets looked up, hold are counted one by one, more frequent ones by matrices.
 RARE, RARE_SHARE = 24, 1 / 16
 #: Pairs of sets whose intersections are held at once, about.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

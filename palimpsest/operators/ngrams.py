@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.functions import text as T
 
@@ -24,10 +28,14 @@ def exploded(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select("doc_id", F.explode(T.ngrams(F.col("tokens"), n)).alias("ngram"))
 
 
+def hashes(tokens: Column, n: int = 3) -> Column:
+    """The 64-bit hashes of the distinct n-grams of a row."""
+    return F.array_distinct(F.transform(T.ngrams(tokens, n), lambda g: F.xxhash64(g)))
+
+
 def hashed(docs: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, ngram): each distinct n-gram of a document, as a 64-bit hash. Distinct within the row, before any shuffle."""
-    grams = F.array_distinct(F.transform(T.ngrams(F.col("tokens"), n), lambda g: F.xxhash64(g)))
-    return docs.select("doc_id", F.explode(grams).alias("ngram"))
+    return docs.select("doc_id", F.explode(hashes(F.col("tokens"), n)).alias("ngram"))
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
@@ -35,47 +43,84 @@ def frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("ngram").agg(F.count("*").alias("n"))
 
 
-def postings(docs: DataFrame, n: int = 3, min_length: int = 2) -> DataFrame:
+@cache
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    out = np.zeros(0x110000, bool)
+    for m in regex.finditer(r"\p{L}+", "".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def hash_of(words: np.ndarray) -> np.ndarray:
+    """64 bits of a digest of each word in lower case; each different word is hashed once."""
+    codes, own = pd.factorize(words)
+    return np.array([int.from_bytes(hashlib.blake2b(w.lower().encode("utf-8", "replace"), digest_size=8).digest()) for w in own], np.uint64)[codes]
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits of two hashes in order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Characters that are cut into words at once, or one text.
+CHARACTERS = 1 << 20
+
+
+def postings(docs: DataFrame, n: int = 3, min_length: int = 2, sized: bool = False) -> DataFrame:
     """Postings with positions: n-gram hash, its index and the byte range from its first token to its last.
 
     Bytes are those of the text's UTF-8. Tokens shorter than min_length don't count. A document's year, where docs has
-    one, goes with its postings.
+    one, goes with its postings; with sized, so does its number of different n-grams, as ``n``.
     """
-    import zlib
-
     dated = "year" in docs.columns
 
-    word = regex.compile(r"\p{L}+")
+    def of(ids: pa.Array, years: pa.Array | None, texts: list[str]) -> pa.RecordBatch:
+        joined = " ".join(texts)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.diff(np.concatenate([[False], letters()[chars], [False]]).astype(np.int8))
+        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        long = last - first >= min_length
+        first, last = first[long], last[long]
+        bytes_ = np.append(0, np.cumsum(1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)))
+        text = np.searchsorted(begins, first, "right") - 1
+        words = np.empty(len(first), object)
+        words[:] = [joined[a:b] for a, b in zip(first.tolist(), last.tolist())]
+        hashes = hash_of(words) if len(words) else np.zeros(0, np.uint64)
+        at = np.arange(max(0, len(first) - n + 1))
+        at = at[text[at] == text[at + n - 1]]
+        gram = hashes[at]
+        for k in range(1, n):
+            gram = mixed(gram, hashes[at + k])
+        own = text[at]
+        ints = [at - np.searchsorted(text, own), bytes_[first[at]] - bytes_[begins[own]], bytes_[last[at + n - 1]] - bytes_[begins[own]]]
+        rows = pa.array(own)
+        cols = [ids.take(rows), pa.array(gram.view(np.int64)), *(pa.array(c.astype(np.int32)) for c in ints)]
+        if dated:
+            cols.append(years.take(rows))
+        if sized:
+            order = np.lexsort((gram, own))
+            new = np.append(True, (gram[order[1:]] != gram[order[:-1]]) | (own[order[1:]] != own[order[:-1]]))[: len(order)]
+            cols.append(pa.array(np.bincount(own[order[new]], minlength=len(texts))[own].astype(np.int32)))
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out: list[list] = [[], [], [], [], []]
-                years: list = []
-                for at_row, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
-                    found, at, byte = [], 0, 0
-                    text = text or ""
-                    for m in word.finditer(text):
-                        byte += len(text[at : m.start()].encode("utf-8", "replace"))
-                        size = len(m[0].encode())
-                        at = m.end()
-                        if len(m[0]) >= min_length:
-                            found.append((m[0].lower(), byte, byte + size))
-                        byte += size
-                    for i in range(len(found) - n + 1):
-                        gram = "_".join(w for w, _, _ in found[i : i + n]).encode()
-                        value = zlib.crc32(gram) << 32 | zlib.adler32(gram)
-                        for c, v in zip(out, (doc, value - (1 << 63), i, found[i][1], found[i + n - 1][2])):
-                            c.append(v)
-                    years += [at_row] * max(0, len(found) - n + 1)
-                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.int32()) for c in out[2:])]
-                if dated:
-                    cols.append(part.column("year").take(pa.array(years, pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ngram", "pos", "start_byte", "end_byte", "year"][: len(cols)])
-
+            ids, texts = batch.column("doc_id").cast(pa.int64()), [t or "" for t in batch.column("text").to_pylist()]
+            lo = size = 0
+            for hi in range(1, len(texts) + 1):
+                size += len(texts[hi - 1]) + 1
+                if hi == len(texts) or size + len(texts[hi]) > CHARACTERS:
+                    yield of(ids[lo:hi], batch.column("year")[lo:hi] if dated else None, texts[lo:hi])
+                    lo, size = hi, 0
+
+    schema = POSTINGS + YEAR * dated + ", n int" * sized
     own = ["doc_id", "text", *([F.col("year").try_cast("int").alias("year")] if dated else [])]
-    return docs.select(*own).mapInArrow(run, POSTINGS + YEAR * dated)
+    return docs.select(*own).mapInArrow(run, schema)
 
 
 def words_at(docs: DataFrame) -> DataFrame:

@@ -83,7 +83,9 @@ class AlignmentStore:
         bins = F.when(F.lit(False), "")
         for low, high in LENGTH_BINS:
             bins = bins.when(F.col(name).between(low, high) if high else F.col(name) >= low, f"{low}-{high or ''}")
-        return self.where(search).select(bins.alias("facet")).where("facet IS NOT NULL").groupBy("facet").agg(F.count("*").alias("count"))
+        counts = self.where(search).groupBy(bins.alias("facet")).agg(F.count("*").alias("count"), F.max(F.col(name)).alias("_most"))
+        # bins are from 1 on; a condition on the facet itself would be pushed down to the rows and measure each of them again for each bin
+        return counts.where(F.col("_most") >= LENGTH_BINS[0][0]).drop("_most")
 
     def time_series(self, search: Search, name: str = "source_year", dense: bool = True) -> DataFrame:
         """Counts by intervals of years; with dense, intervals between the first and the last that have none, too."""

@@ -44,3 +44,25 @@ def test_each_different_word_is_hashed_once():
 
 def test_lengths_are_measured_once_for_all_bins(spark):
     assert plan(QUERIES["passage_length_histogram"](spark, SF)).count("regexp_extract_all") == 1
+
+
+def test_only_ngrams_of_both_corpora_are_written(spark, monkeypatch):
+    from palimpsest.operators import candidates as C
+
+    kept = []
+    monkeypatch.setattr(C, "written", lambda df, name: kept.append(sorted(map(tuple, df.collect()))) or df)
+    source = spark.createDataFrame([(d, g) for d in range(20) for g in (100 + d, d % 3, 7)], "doc_id long, ngram long")
+    target = spark.createDataFrame([(1, 7), (1, 2), (2, 7)], "doc_id long, ngram long")
+    got = {(r["s"], r["t"]): r["shared"] for r in C.across(source, target).collect()}
+    assert got == {(d, t): 1 + (t == 1 and d % 3 == 2) for d in range(20) for t in (1, 2)}
+    assert [len(rows) for rows in kept] == [20 + 6]
+
+
+def test_intervals_are_sorted_in_more_partitions_where_there_are_more(spark, monkeypatch):
+    from palimpsest.operators import grouping as G
+    from palimpsest.plans import tables
+
+    monkeypatch.setattr(tables, "SORTED_ROWS", 50)
+    rows = spark.createDataFrame([(i % 40, 3 * i, 3 * i + 2) for i in range(1000)], "file long, start long, end long")
+    found = G.islands(rows, "file", "start", "end")
+    assert found.rdd.getNumPartitions() == 20 and found.count() == 1000

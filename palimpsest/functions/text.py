@@ -79,7 +79,7 @@ def gap_ngrams(tokens: Column, n: int, gap: int) -> Column:
 
 def word_order_free(ngram: Column) -> Column:
     """An n-gram with its words in alphabetical order."""
-    return F.array_join(F.array_sort(F.split(ngram, "_")), "_")
+    return F.array_join(F.sort_array(F.split(ngram, "_")), "_")
 
 
 def strip_tags(html: Column) -> Column:

@@ -66,3 +66,8 @@ def test_intervals_are_sorted_in_more_partitions_where_there_are_more(spark, mon
     rows = spark.createDataFrame([(i % 40, 3 * i, 3 * i + 2) for i in range(1000)], "file long, start long, end long")
     found = G.islands(rows, "file", "start", "end")
     assert found.rdd.getNumPartitions() == 20 and found.count() == 1000
+
+
+def test_words_are_sorted_without_a_comparator(spark):
+    """array_sort calls an interpreted comparison for each two words; sort_array doesn't."""
+    assert "array_sort(" not in plan(QUERIES["word_order_free_ngrams"](spark, SF))
